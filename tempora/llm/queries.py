@@ -53,3 +53,48 @@ def op3_quality_rules(spark, sf_dir):
 
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query(
+    """
+    WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+               FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """
+)
+def op4_topk(spark, sf_dir):
+    from tempora.llm import topk
+
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query()
+def op5_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from tempora.llm import bpe
+
+    ranks = bpe.read_rank_file(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
+@query()
+def op8_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from tempora.llm import bpe, packing
+
+    ranks = bpe.read_rank_file(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
+@query()
+def op10_ppm(spark, sf_dir):
+    from tempora.llm import ppm
+
+    return ppm.score(table(spark, sf_dir, "documents"))
