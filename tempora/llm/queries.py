@@ -98,3 +98,10 @@ def op10_ppm(spark, sf_dir):
     from tempora.llm import ppm
 
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_jaccard_join(spark, sf_dir):
+    from tempora.llm import near_duplicates
+
+    return near_duplicates.link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
