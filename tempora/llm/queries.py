@@ -105,3 +105,10 @@ def op6_jaccard_join(spark, sf_dir):
     from tempora.llm import near_duplicates
 
     return near_duplicates.link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query()
+def op9_suffix_dedup(spark, sf_dir):
+    from tempora.llm import suffixes
+
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), with_kept=False)
