@@ -112,3 +112,11 @@ def op9_suffix_dedup(spark, sf_dir):
     from tempora.llm import suffixes
 
     return suffixes.deduplicate(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+@query()
+def op7_toxicity(spark, sf_dir):
+    from tempora.llm import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
