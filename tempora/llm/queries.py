@@ -120,3 +120,42 @@ def op7_toxicity(spark, sf_dir):
 
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op1_quotations(spark, sf_dir):
+    from tempora.llm import quotations
+
+    return quotations.link(table(spark, sf_dir, "conversations"))
+
+
+def _license_sql() -> str:
+    from tempora.llm.license_scan import TEMPLATES
+
+    values = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in TEMPLATES.items())
+    return rf"""
+    WITH templates AS (
+      SELECT name, list_filter(string_split(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM (VALUES {values}) AS t(name, body)),
+    known AS (SELECT name AS license, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS tg FROM templates),
+    plain AS (
+      SELECT doc_id, regexp_replace(lower(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(1), 'g')), '[^\p{{L}}\p{{N}}\n\x01]+', ' ', 'g') AS p FROM documents),
+    units AS (
+      SELECT doc_id, unnest(list_distinct(list_concat(list_concat(regexp_split_to_array(p, '[\n\x01]'), string_split(replace(p, chr(1), ' '), chr(10))), [translate(p, chr(10) || chr(1), '  ')]))) AS unit FROM plain),
+    words AS (SELECT doc_id, list_filter(string_split(unit, ' '), lambda x: x <> '') AS w FROM units),
+    grams AS (
+      SELECT doc_id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) BETWEEN 2 AND 100000),
+    scored AS (
+      SELECT doc_id, license, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice
+      FROM grams, known WHERE 2 * least(len(g), len(tg)) >= 0.8 * (len(g) + len(tg)))
+    SELECT doc_id, license, count(*) AS n_units, max(CAST(dice AS DOUBLE)) AS dice FROM scored WHERE dice >= 0.8 GROUP BY doc_id, license
+    """
+
+
+@query()
+def op2_license_scan(spark, sf_dir):
+    from tempora.llm import license_scan
+
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op2_license_scan"] = _license_sql()
