@@ -1,11 +1,65 @@
-"""The corpus pipeline: documents through filtering, deduplication and packing."""
+"""The corpus pipeline: toxicity, quality rules, near duplicates, repeated strings, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents.
+
+- toxicity: documents that the model of the table ``labels`` finds toxic go.
+- quality rules: documents that fail a rule, or whose host is rejected, go.
+- near duplicates: of each class of documents with linked five-word n-grams the smallest id stays.
+- repeated strings: bytes under a 200-byte string that also starts elsewhere go from the texts
+  (an incomplete character at a cut goes too); n_chars follows. A document of which nothing is left stays, empty.
+- packing: documents are cut into sequences of 2048 tokens.
+"""
+
+from __future__ import annotations
+
+
+from tempora.llm import bpe, near_duplicates, packing, quality_rules, suffixes, toxicity
+
+#: No stage but the second can be expressed in SQL.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.filter_toxic(docs, toxicity.fit(docs, labels))
+
+
+def drop_low_quality(spark, docs, sf_dir):
+    return quality_rules.keep(docs)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    return near_duplicates.keep_one(docs)
+
+
+def drop_repeated_strings(spark, docs, sf_dir):
+    return suffixes.rewrite(docs)
+
+
+def pack_documents(spark, docs, sf_dir):
+    import public_tokenizers
+
+    ranks = bpe.read_rank_file(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_strings),
+    ("packing", pack_documents),
+]
+
+
 def run(spark, sf_dir):
+    """All stages over the table documents, each written to the shared folder before the next."""
+    from tempora.llm.common import materialize
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs)
     return docs

@@ -110,3 +110,14 @@ def judge(documents: DataFrame, id_column: str = "doc_id", text: str = "text", h
     joined = counted.join(verdicts, F.col("host").eqNullSafe(F.col("__host")), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))
     return joined.withColumn("kept", kept).drop("__host", "host_kept")
+
+
+def keep(documents: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows that pass the rules and whose host is not rejected, with all their columns."""
+    columns = documents.columns
+    row = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(text).alias("__text"), F.col(host).alias("__host"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+    counted = materialize(measure(row, "__text").select("__row", "__host", failed.alias("__failed")))
+    rejected = host_verdicts(counted.select("__host", "__failed"), "__host", ["__failed"]).where("not host_kept").select(F.col("__host").alias("__bad_host"))
+    passed = counted.where("not __failed")
+    return passed.join(rejected, F.col("__host").eqNullSafe(F.col("__bad_host")), "left_anti").select("__row.*")

@@ -322,3 +322,27 @@ def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "te
     open_ = pieces.where("kind = 2").select("k1", "k2", "doc_id", "data", "n_bytes", "digest").join(spans, ["k1", "k2"], "left").select("doc_id", "data", "n_bytes", "digest", "ranges")
     out = done.unionByName(open_).mapInArrow(_removed(length, with_kept), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_kept else out.drop("kept")
+
+
+def _as_text(batches):
+    for batch in batches:
+        texts = [(b or b"").decode(errors="ignore") for b in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "kept_text"])
+
+
+def rewrite(documents: DataFrame, text: str = "text", length_column: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
+    """The documents with repeated strings taken out of their texts, with all their columns.
+
+    Incomplete characters at cuts go too; ``length_column``, where there is one, gets the new length.
+    A null text stays null.
+    """
+    columns = documents.columns
+    others = [c for c in columns if c != text and c != length_column]
+    named = documents.select(F.struct(F.col(f"`{text}`").isNull().alias("__null"), *(F.col(f"`{c}`") for c in others)).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    kept = deduplicate(named, "__row", "__text", length).mapInArrow(_as_text, f"doc_id {dict(named.dtypes)['__row']}, kept_text string")
+    body = F.when(~F.col("doc_id.__null"), F.col("kept_text"))
+    values = {c: F.col(f"doc_id.`{c}`") for c in others} | {text: body}
+    if length_column in columns:
+        values[length_column] = F.length(body).cast(dict(documents.dtypes)[length_column])
+    return kept.select(*(values[c].alias(c) for c in columns))
+
