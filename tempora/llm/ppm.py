@@ -61,12 +61,14 @@ class _Block:
         self.word_rows = np.repeat(np.arange(len(texts)), self.n_words)
         self.words = RangeHash(data).of(stops - lengths, stops) if len(stops) else np.zeros(0, np.uint64)
         self.words[self.words == _END] += np.uint64(1)
-        at = np.flatnonzero(inside)
-        self.run_rows = rows[at]
-        self.runs = np.zeros(len(at), np.uint64)
-        for j in range(order, -1, -1):
-            self.runs <<= np.uint64(8)
-            self.runs |= data[at - j]
+        #: each row's first run; every row has one, of its closing line feed
+        self.run_starts = starts[:-1] - order * np.arange(len(texts))
+        self.run_rows = rows[inside]
+        runs = np.zeros(len(data) - order, np.uint64)
+        for j in range(order + 1):
+            runs <<= np.uint64(8)
+            runs |= data[j : len(data) - order + j]
+        self.runs = runs[inside[order:]]
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and rows of the words, then of the ends."""
@@ -312,16 +314,18 @@ def _scored(order: int, bits: int, n_train: int, vocabulary: int):
         texts = left.column("text").cast(pa.large_binary()).to_pylist()
         numbers = {(k, p): n for k, p, n in zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("numbers").to_pylist(), strict=True)}
         n_docs, n_words = len(texts), np.zeros(len(texts), np.int64)
-        tokens, rows, distinct = [], [], np.zeros(0, np.uint64)
+        tokens, rows, pieces = [], [], []
         for first, some in _pieces(texts, order):
             n_words[first : first + len(some.n_words)] = some.n_words
             mine, mine_rows = some.tokens()
             tokens.append(mine), rows.append(mine_rows + first)
-            distinct = pd.unique(np.concatenate([distinct, pd.unique(some.runs)]))
+            codes, runs = pd.factorize(some.runs)
+            pieces.append((first, codes.astype(np.int32), runs, some.run_starts))
+        distinct = pd.unique(np.concatenate([runs for _, _, runs, _ in pieces]))
         scores, index = _given(_RUNS, distinct, bits, numbers, np.float32).astype(np.float64), pd.Index(distinct)
         ppm = np.zeros(n_docs)
-        for first, some in _pieces(texts, order):
-            ppm[first : first + len(some.n_words)] = np.bincount(some.run_rows, scores[index.get_indexer(some.runs)], len(some.n_words))
+        for first, codes, runs, starts in pieces:
+            ppm[first : first + len(starts)] = np.add.reduceat(scores[index.get_indexer(runs)][codes], starts)
         tokens, rows = np.concatenate(tokens), np.concatenate(rows)
         codes, found = pd.factorize(tokens)
         counts = _given(_WORDS, found, bits, numbers, np.int64)[codes]
