@@ -33,3 +33,13 @@ def downsample_events(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     bucket = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket")
     return events.groupBy(bucket, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for suite in ("timeseries", "relational", "analytics", "promql"):
+        import_module(f"tempora.suites.{suite}")
+
+
+_load()
