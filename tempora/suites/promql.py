@@ -1 +1,74 @@
-"""Queries in the metric query language."""
+"""Queries in the metric query language over the table events, on a daily grid of January 2024."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tempora.catalog import ORACLE_SQL, QUERIES
+from tempora.promql import Engine
+from tempora.session import table
+
+_DAY = 86400 * 10**6
+_START, _STEPS = 1704153600 * 10**6, 6  # 2024-01-02
+#: Samples in every window (step - length, step], for the check in SQL.
+_WINDOW = """g AS (SELECT make_timestamp(1704153600000000 + i * 86400000000) AS step FROM generate_series(0, 5) t(i)),
+    p AS (SELECT user_id, event_type, ts, max(value) AS value FROM events GROUP BY 1, 2, 3),
+    w AS (SELECT p.*, g.step FROM p JOIN g ON p.ts <= g.step AND p.ts > g.step - INTERVAL {})"""
+
+
+def _prom(name: str, text: str, labels: list[str], oracle: str | None = None, digits: int = 6) -> None:
+    def run(spark, sf_dir):
+        events = table(spark, sf_dir, "events").groupBy("user_id", "event_type", "ts").agg(F.max("value").alias("value"))
+        engine = Engine(spark)
+        engine.add("events", events, "ts", ["user_id", "event_type"], ["value"])
+        found = engine.range(text, _START, _START + (_STEPS - 1) * _DAY, _DAY)
+        return found.select(*(F.element_at("labels", label).alias(label) for label in labels), "ts", F.round("value", digits).alias("value"))
+
+    QUERIES[name] = run
+    if oracle:
+        ORACLE_SQL[name] = oracle
+
+
+def _over(name: str, function: str, sql: str, length: str = "2 DAY", range_: str = "2d") -> None:
+    _prom(name, f"{function}(events[{range_}])", ["event_type", "user_id"], f"WITH {_WINDOW.format(length)} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round({sql}, 6) AS value FROM w GROUP BY 1, 2, 3")
+
+
+_over("promql_avg_over_time", "avg_over_time", "avg(value)")
+_over("promql_sum_over_time", "sum_over_time", "sum(value)")
+_over("promql_count_over_time", "count_over_time", "CAST(count(*) AS DOUBLE)")
+_over("promql_max_over_time", "max_over_time", "max(value)")
+_over("promql_min_over_time", "min_over_time", "min(value)")
+_over("promql_last_over_time", "last_over_time", "arg_max(value, ts)")
+_over("promql_first_over_time", "first_over_time", "arg_min(value, ts)")
+_over("promql_stddev_over_time", "stddev_over_time", "stddev_pop(value)")
+_prom("promql_quantile_over_time", "quantile_over_time(0.9, events[2d])", ["event_type", "user_id"], f"WITH {_WINDOW.format('2 DAY')} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(quantile_cont(value, 0.9), 6) AS value FROM w GROUP BY 1, 2, 3")
+_RESETS = f"""WITH {_WINDOW.format("3 DAY")}, x AS (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type, step ORDER BY ts) AS pv FROM w)"""
+_prom("promql_resets", "resets(events[3d])", ["event_type", "user_id"], f"{_RESETS} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, CAST(count(*) FILTER (WHERE value < pv) AS DOUBLE) AS value FROM x GROUP BY 1, 2, 3")
+_prom("promql_changes", "changes(events[3d])", ["event_type", "user_id"], f"{_RESETS} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, CAST(count(*) FILTER (WHERE value <> pv) AS DOUBLE) AS value FROM x GROUP BY 1, 2, 3")
+_EXTRAPOLATED = """, a AS (SELECT user_id, event_type, step, arg_min(value, ts) AS fv, arg_max(value, ts) - arg_min(value, ts) + sum(CASE WHEN value < pv THEN pv ELSE 0 END) AS change, count(*) AS n,
+      (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span, (epoch_us(min(ts)) - epoch_us(step - INTERVAL 3 DAY)) / 1e6 AS b, (epoch_us(step) - epoch_us(max(ts))) / 1e6 AS e FROM x GROUP BY 1, 2, 3),
+    c AS (SELECT *, span / (n - 1) AS av FROM a WHERE n >= 2 AND span > 0), d AS (SELECT *, CASE WHEN b >= av * 1.1 THEN av / 2 ELSE b END AS b1, CASE WHEN e >= av * 1.1 THEN av / 2 ELSE e END AS e1 FROM c),
+    f AS (SELECT *, CASE WHEN change > 0 AND fv >= 0 AND span * fv / change < b1 THEN span * fv / change ELSE b1 END AS b2 FROM d)"""
+_prom("promql_rate", "rate(events[3d])", ["event_type", "user_id"], f"{_RESETS} {_EXTRAPOLATED} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(change * ((span + b2 + e1) / span) / 259200, 6) AS value FROM f")
+_prom("promql_increase", "increase(events[3d])", ["event_type", "user_id"], f"{_RESETS} {_EXTRAPOLATED} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(change * ((span + b2 + e1) / span), 4) AS value FROM f", 4)
+_LAST = f"WITH {_WINDOW.format('2 DAY')}, l AS (SELECT user_id, event_type, step, arg_max(value, ts) AS v FROM w GROUP BY 1, 2, 3)"
+for _fn, _sql in (("sum", "sum(v)"), ("avg", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("count", "CAST(count(*) AS DOUBLE)"), ("stddev", "stddev_pop(v)"), ("stdvar", "var_pop(v)"), ("group", "max(1.0)")):
+    _prom(f"promql_agg_{_fn}", f"{_fn} by (event_type) (last_over_time(events[2d]))", ["event_type"], f"{_LAST} SELECT event_type, step AS ts, round(CAST({_sql} AS DOUBLE), 4) AS value FROM l GROUP BY 1, 2", 4)
+_prom("promql_agg_quantile", "quantile without (user_id) (0.5, last_over_time(events[2d]))", ["event_type"], f"{_LAST} SELECT event_type, step AS ts, round(quantile_cont(v, 0.5), 6) AS value FROM l GROUP BY 1, 2")
+_prom("promql_topk", "topk by (event_type) (3, last_over_time(events[2d]))", ["event_type", "user_id"], f"{_LAST} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(v, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, step ORDER BY v DESC, CAST(user_id AS VARCHAR)) AS r FROM l) WHERE r <= 3")
+_prom("promql_binary", "sum by (event_type) (last_over_time(events[2d])) / count by (event_type) (last_over_time(events[2d])) * 2", ["event_type"], f"{_LAST} SELECT event_type, step AS ts, round(sum(v) / count(*) * 2, 5) AS value FROM l GROUP BY 1, 2", 5)
+_prom("promql_group_left", "last_over_time(events[2d]) / on (event_type) group_left sum by (event_type) (last_over_time(events[2d]))", ["event_type", "user_id"], f"{_LAST} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(v / sum(v) OVER (PARTITION BY event_type, step), 6) AS value FROM l")
+_prom("promql_comparison", "avg by (event_type) (last_over_time(events[2d])) > bool 50", ["event_type"], f"{_LAST} SELECT event_type, step AS ts, CAST(avg(v) > 50 AS DOUBLE) AS value FROM l GROUP BY 1, 2")
+_prom("promql_filter", "last_over_time(events[2d]) > 60 unless last_over_time(events[2d]) > 90", ["event_type", "user_id"], f"{_LAST} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(v, 6) AS value FROM l WHERE v > 60 AND v <= 90")
+_prom("promql_offset", "sum(sum_over_time(events[1d] offset 1d))", [], """WITH g AS (SELECT make_timestamp(1704153600000000 + i * 86400000000) AS step FROM generate_series(0, 5) t(i)), p AS (SELECT user_id, event_type, ts, max(value) AS value FROM events GROUP BY 1, 2, 3)
+    SELECT step AS ts, round(sum(value), 4) AS value FROM p JOIN g ON ts <= step - INTERVAL 1 DAY AND ts > step - INTERVAL 2 DAY GROUP BY 1""", 4)
+_prom("promql_subquery", "max_over_time(sum(sum_over_time(events[1d]))[3d:1d])", [], """WITH g AS (SELECT make_timestamp(1704153600000000 + i * 86400000000) AS step FROM generate_series(-3, 5) t(i)), p AS (SELECT user_id, event_type, ts, max(value) AS value FROM events GROUP BY 1, 2, 3),
+    s AS (SELECT step, sum(value) AS v FROM p JOIN g ON ts <= step AND ts > step - INTERVAL 1 DAY GROUP BY 1)
+    SELECT a.step AS ts, round(max(b.v), 4) AS value FROM g a JOIN s b ON b.step <= a.step AND b.step > a.step - INTERVAL 3 DAY WHERE a.step >= make_timestamp(1704153600000000) GROUP BY 1""", 4)
+_prom("promql_label_replace", 'sum by (kind) (label_replace(last_over_time(events{event_type=~"c.*|p.*"}[2d]), "kind", "x-$1", "event_type", "(.).*"))', ["kind"], f"{_LAST} SELECT 'x-' || event_type[1] AS kind, step AS ts, round(sum(v), 4) AS value FROM l WHERE regexp_matches(event_type, '^(c|p)') GROUP BY 1, 2", 4)
+_prom("promql_absent", 'absent(events{event_type="none"})', ["event_type"], "SELECT 'none' AS event_type, make_timestamp(1704153600000000 + i * 86400000000) AS ts, 1.0::DOUBLE AS value FROM generate_series(0, 5) t(i)")
+_prom("promql_deriv", "deriv(events[3d])", ["event_type", "user_id"], f"WITH {_WINDOW.format('3 DAY')} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(regr_slope(value, (epoch_us(ts) - epoch_us(step)) / 1e6), 6) AS value FROM w GROUP BY 1, 2, 3 HAVING count(*) >= 2")
+_prom("promql_predict_linear", "predict_linear(events[3d], 3600)", ["event_type", "user_id"])
+_prom("promql_smoothing", "double_exponential_smoothing(events[3d], 0.5, 0.3)", ["event_type", "user_id"])
+_prom("promql_element", "round(sqrt(clamp(last_over_time(events[2d]), 10, 80)), 0.1)", ["event_type", "user_id"], f"{_LAST} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(floor(sqrt(greatest(10, least(80, v))) / 0.1 + 0.5) * 0.1, 6) AS value FROM l")
+_prom("promql_clock", "day_of_month() + hour() / 100", [], "SELECT make_timestamp(1704153600000000 + i * 86400000000) AS ts, CAST(2 + i AS DOUBLE) AS value FROM generate_series(0, 5) t(i)")
