@@ -275,3 +275,44 @@ def frame_groups(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("day", time_bucket("1d", F.col("ts")))
     rank, frame = W.groups_frame(["event_type"], "day", 1)
     return events.select("*", rank).select("event_id", F.count(F.lit(1)).over(frame).alias("n"))
+
+
+@query("SELECT event_id AS seq, value FROM events WHERE value > 90 AND event_type <> (SELECT min(event_type) FROM events)")
+def trigger_threshold(spark, sf_dir):
+    from tempora.streaming import triggers
+
+    events = table(spark, sf_dir, "events")
+    least = events.agg(F.min("event_type")).first()[0]
+    changes = triggers.change_events(events, "events", "ts", ["event_type"], ["value"], "event_id")
+    registry = triggers.Registry()
+    made = registry.execute(f"CREATE TRIGGER high ON events WHEN value > 90 AND NOT tag event_type = '{least}' COOLDOWN INTERVAL '1 hour'")[0]
+    return triggers.evaluate(changes, made).select("seq", F.col("fields")["value"].alias("value"))
+
+
+@query()
+def trigger_cooldown(spark, sf_dir):
+    from tempora.streaming import triggers
+
+    changes = triggers.change_events(table(spark, sf_dir, "events"), "events", "ts", ["event_type"], ["value"], "event_id")
+    return triggers.with_cooldown(triggers.evaluate(changes, triggers.Trigger("high", "events", "value > 90")), 3600).select("series", "seq", "event_timestamp")
+
+
+@query(
+    """WITH t AS (SELECT *, lag(value, 4) OVER w AS old, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+    o AS (SELECT event_id, value, coalesce(old, first_value(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS old, n FROM t) SELECT event_id AS seq FROM o WHERE n > 1 AND old <> 0 AND abs(value - old) / abs(old) * 100 > 150"""
+)
+def trigger_rate_of_change(spark, sf_dir):
+    from tempora.streaming import triggers
+
+    changes = triggers.change_events(table(spark, sf_dir, "events"), "events", "ts", ["event_type"], ["value"], "event_id")
+    return triggers.evaluate(changes, triggers.Trigger("jump", "events", "rate_of_change(value, 150, 5)")).select("seq")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS user, event_type, value, epoch_us(ts) * 1000 AS _time_ns FROM events WHERE value IS NOT NULL")
+def line_protocol(spark, sf_dir):
+    from tempora.sources import ingest
+
+    events = table(spark, sf_dir, "events").where("value is not null")
+    text = F.concat(F.lit("events,user="), F.col("user_id").cast("string"), F.lit(",event_type="), "event_type", F.lit(" value="), F.col("value").cast("string"), F.lit(",n=3i "), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string"))
+    read = ingest.line_protocol(events.select(text.alias("value")))
+    return read.select(F.col("tags")["user"].alias("user"), F.col("tags")["event_type"].alias("event_type"), F.col("fields")["value"]["double"].alias("value"), "_time_ns")
