@@ -3,7 +3,7 @@
 Texts are read as UTF-8 bytes. Every byte under a string of ``length`` bytes that also starts
 anywhere else, in any text, is removed; matches never cross texts.
 
-Two equal strings hold the same smallest hash of their 16-byte grams at the same place: their
+Two equal strings hold the same smallest hash of their 32-byte grams at the same place: their
 anchor. Strings are dealt out by anchor, so equal strings always meet and no other need to: a run of
 consecutive strings with one anchor is a fragment. Fragments whose anchor occurs once are out.
 Equal fragments are aggregated first; where all fragments of an anchor are equal nothing is left
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tempora.llm.common import RangeHash, chunks, materialize, small_batches, utf8
 
 LENGTH = 200
-GRAM = 16
+GRAM = 32
 #: Bytes of fragments that are sorted together; one anchor's distinct fragments may be more.
 POOL_BYTES = 5 << 19
 
