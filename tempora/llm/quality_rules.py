@@ -79,23 +79,23 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(failures: DataFrame, host: str, rules: list[str], max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Per host: n_docs, n_failed, a count by rule, prior_a, prior_b, the shrunk ``host_rate`` and ``host_kept``.
+    """Per host: n_docs, n_docs_failed, a count by rule, prior_a, prior_b, the shrunk ``host_rate`` and ``host_kept``.
 
     The prior's mean is the overall rate; its strength matches the variance of the hosts'
     rates (at least 1; one host or equal rates: 100).
     """
     hosts = failures.groupBy(host).agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.sum(F.greatest(*(F.col(r).cast("long") for r in rules), F.lit(0).cast("long"))).alias("n_failed"),
+        F.sum(F.greatest(*(F.col(r).cast("long") for r in rules), F.lit(0).cast("long"))).alias("n_docs_failed"),
         *(F.sum(F.col(r).cast("long")).alias(f"n_{r}") for r in rules),
     )
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("__mean"), F.var_samp(rate).alias("__var"))
-    strength = F.when(F.col("__var") > 0, F.greatest(F.col("__mean") * (1 - F.col("__mean")) / F.col("__var") - 1, F.lit(1.0))).otherwise(F.lit(100.0))
-    prior = prior.select(F.lit(1).alias("__one"), (F.col("__mean") * strength).alias("prior_a"), ((1 - F.col("__mean")) * strength).alias("prior_b"))
-    joined = hosts.withColumn("__one", F.lit(1)).join(F.broadcast(prior), "__one").drop("__one")  # one row
-    shrunk = (F.col("n_failed") + F.col("prior_a")) / (F.col("n_docs") + F.col("prior_a") + F.col("prior_b"))
-    return joined.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= max_rate)
+    rate = F.col("n_docs_failed") / F.col("n_docs")
+    m = hosts.agg((F.sum("n_docs_failed") / F.sum("n_docs")).alias("mean"), F.var_samp(rate).alias("var")).first()  # two numbers
+    mean = m["mean"] or 0.0
+    strength = max(mean * (1 - mean) / m["var"] - 1, 1.0) if m["var"] else 100.0
+    a, b = mean * strength, (1 - mean) * strength
+    shrunk = (F.col("n_docs_failed") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b))
+    return hosts.withColumns({"prior_a": F.lit(a), "prior_b": F.lit(b), "host_rate": shrunk, "host_kept": shrunk <= max_rate})
 
 
 def judge(documents: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
