@@ -70,7 +70,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, n_columns: int, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, n_columns: int, penalty: float = 0.1, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ascending thresholds) of the penalised cumulative logit model of a sparse matrix."""
     top = int(grades.max())
     n = len(grades)
@@ -119,6 +119,22 @@ def _word_lists(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(toxic, pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["row", "toxic", "word", "n"])
 
 
+def _marked(at: dict[str, int]):
+    """(row, toxic, markers, counts): the chosen features of each document."""
+    heads = {w.lstrip("^")[: STEMS[0]] for w in at}
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column(2).cast(pa.large_binary()).to_pylist():
+                own = features((text or b"").decode(errors="replace"), heads)
+                found.append(sorted((at[f], n) for f, n in own.items() if f in at))
+            columns = [pa.array([[m for m, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "toxic", "markers", "counts"])
+
+    return run
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of the labelled documents; None if they are not of both kinds."""
     small_batches(documents.sparkSession)
@@ -126,12 +142,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     known = known.groupBy("__id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     sample = documents.select(F.col(id_column).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id")  # at most sample_rows rows
-    sample = sample.groupBy("__id", "toxic").agg(F.min("text").alias("text"))
-    words = materialize(sample.select(F.xxhash64("__id").alias("row"), "toxic", "text").mapInArrow(_word_lists, "row long, toxic int, word string, n long"))
-    sizes = {r.toxic: r.n for r in words.groupBy("toxic").agg(F.countDistinct("row").alias("n")).collect()}
+    sample = materialize(sample.groupBy("__id", "toxic").agg(F.min("text").alias("text")).select(F.xxhash64("__id").alias("row"), "toxic", "text"))
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return None
+    words = sample.mapInArrow(_word_lists, "row long, toxic int, word string, n long")
     seen = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= MIN_DOCUMENTS)
     n = float(bad + good)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
@@ -143,12 +159,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
         return None
     at = {r.word: i for i, r in enumerate(markers)}
     strong = np.array([r.odds > 2 for r in markers])
-    chosen = words.join(F.broadcast(words.sparkSession.createDataFrame([(w,) for w in at], "word string")), "word").collect()
-    targets = {r.row: r.toxic for r in words.select("row", "toxic").distinct().collect()}
-    order = {row: i for i, row in enumerate(sorted(targets))}
-    entries = sorted((order[r.row], at[r.word], r.n) for r in chosen)
+    marked = sample.mapInArrow(_marked(at), "row long, toxic int, markers array<int>, counts array<long>").collect()  # at most sample_rows rows
+    marked = sorted(marked, key=lambda r: r.row)
+    entries = [(i, m, c) for i, r in enumerate(marked) for m, c in zip(r.markers, r.counts, strict=True)]
     rows, columns, counts = (np.array(x) for x in zip(*entries, strict=True))
-    grades = np.array([targets[row] for row in sorted(targets)])
+    grades = np.array([r.toxic for r in marked])
     heavy = np.bincount(rows, counts * strong[columns], len(grades))
     toxic = heavy[grades == 1]
     grades = grades + ((grades == 1) & (heavy >= np.median(toxic)) & (heavy > toxic.min()))
