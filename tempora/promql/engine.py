@@ -540,9 +540,18 @@ class Engine:
         if name == "histogram_quantile":
             return self._histogram_quantile(node, grid)
         if name == "scalar":
-            raise MetricError("scalar() is supported only of vector(): use it through a join")
+            return self._as_scalar(self._vector(arguments[0], grid), grid)
         raise MetricError(f"unknown function {name!r}")
 
+    def _as_scalar(self, vector: DataFrame, grid: Grid) -> Column:
+        """The value of the only series at each step, NaN where there is none or more: at most one number per step comes to the driver."""
+        single = vector.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).where("n = 1").select("step", "v")
+        known = single.limit(grid.count).collect()
+        if not known:
+            return F.lit(NAN)
+        table = F.create_map(*(x for r in known for x in (F.lit(r.step), F.lit(r.v))))
+        return F.coalesce(F.try_element_at(table, F.col("step")), F.lit(NAN))
+
     def _relabelled(self, vector: DataFrame, target: str, value: Column) -> DataFrame:
         if not target.isidentifier():
             raise MetricError(f"{target!r} is not a label name")

@@ -186,7 +186,7 @@ def stream_cooldown(firings: DataFrame, cooldown_s: float) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         data, wall = state.get if state.exists else (None, None)
-        now, out = state.getCurrentProcessingTimeInMs() / 1000, []
+        now, out = state.getCurrentProcessingTimeMs() / 1000, []
         for pdf in batches:
             for at in pdf.sort_values("event_timestamp")["event_timestamp"]:
                 seconds = at.timestamp()

@@ -193,3 +193,52 @@ def forecast_accuracy(spark, sf_dir):
     pairs = table(spark, sf_dir, "events").withColumn("f", F.lag("value").over(over)).where("f IS NOT NULL")
     made = drift.accuracy(F.col("value"), F.col("f"))
     return pairs.groupBy("event_type").agg(F.round(made["rmse"], 6).alias("rmse"), F.round(made["mae"], 6).alias("mae"), F.round(made["smape"], 5).alias("smape"))
+
+
+@query()
+def declared_detector(spark, sf_dir):
+    from tempora.operators.detectors import Detector
+
+    return Detector("odd", "value", "ts", ["event_type"], season="1d", slot="6h").verdicts(_hourly(spark, sf_dir))
+
+
+@query(
+    """WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, avg(value) AS v FROM events GROUP BY 1, 2)
+    SELECT event_type, day AS ts, round(CASE WHEN p > 0 AND v > 0 THEN ln(v / p) ELSE 0 END, 6) AS log_return FROM (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY day) AS p FROM d)"""
+)
+def derived_log_return(spark, sf_dir):
+    from tempora.operators import derived
+
+    daily = table(spark, sf_dir, "events").groupBy("event_type", time_bucket("1d", F.col("ts")).alias("ts")).agg(F.avg("value").alias("v"))
+    over = Window.partitionBy("event_type").orderBy("ts")
+    return daily.select("event_type", "ts", F.round(derived.log_return(F.col("v"), over), 6).alias("log_return"))
+
+
+@query("SELECT event_type, CAST(count(*) AS DOUBLE) AS n, round(avg(value), 6) AS mean FROM events WHERE value >= 0 GROUP BY 1")
+def histogram_moments(spark, sf_dir):
+    from tempora.functions import histograms
+
+    by_user = histograms.observe(table(spark, sf_dir, "events"), ["event_type", "user_id"], "value")
+    merged = histograms.merge(by_user, ["event_type"])
+    h = F.col("histogram")
+    return merged.select("event_type", histograms.histogram_count(h).alias("n"), F.round(histograms.histogram_avg(h), 6).alias("mean"))
+
+
+@query()
+def histogram_quantiles(spark, sf_dir):
+    from tempora.functions import histograms
+
+    h = F.col("histogram")
+    found = histograms.observe(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return found.select("event_type", *(histograms.histogram_quantile(q, h).alias(f"q{round(q * 100)}") for q in (0.5, 0.9, 0.99)), histograms.histogram_fraction(0.0, 50.0, h).alias("below_50"), histograms.histogram_stdvar(h).alias("variance"))
+
+
+@query(
+    """WITH h AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS t, event_type, avg(value) AS v FROM events GROUP BY 1, 2), w AS (SELECT a.t, a.v AS x, b.v AS y FROM h a JOIN h b ON a.t = b.t AND a.event_type = 'click' AND b.event_type = 'view')
+    SELECT 'click' AS a, 'view' AS b, round(corr(x, y), 6) AS r FROM w"""
+)
+def correlation_matrix(spark, sf_dir):
+    from tempora.operators import derived
+
+    wide = derived.align(table(spark, sf_dir, "events"), "event_type", ["click", "view"], "ts", "value", "1d")
+    return derived.correlation_matrix(wide, ["click", "view"]).where("a <> b").select("a", "b", F.round("r", 6).alias("r"))

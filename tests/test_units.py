@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import numpy as np
@@ -191,10 +192,54 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, triggers.EVENT).coalesce(1).write.parquet(str(tmp_path / "events"))
     schema = spark.read.parquet(str(tmp_path / "events")).schema
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
-    query = triggers.stream_rollup(stream, "v", "2 minutes", "1 minute").writeStream.format("memory").queryName("rolled").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
-    query.processAllAvailable(), query.stop()
+    query = triggers.stream_rollup(stream, "v", "2 minutes", "1 minute").writeStream.format("memory").queryName("rolled").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     assert spark.table("rolled").count() >= 1
     fired = triggers.evaluate(spark.readStream.schema(schema).parquet(str(tmp_path / "events")), triggers.Trigger("t", "cpu", "v >= 0"))
-    query = triggers.stream_cooldown(fired, 600.0).writeStream.format("memory").queryName("cooled").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).start()
-    query.processAllAvailable(), query.stop()
+    query = triggers.stream_cooldown(fired, 600.0).writeStream.format("memory").queryName("cooled").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(processingTime="1 second").start()
+    for _ in range(60):  # a query with timeouts never runs out of batches
+        if spark.table("cooled").count():
+            break
+        time.sleep(1)
+    query.stop()
     assert spark.table("cooled").count() == 1
+
+
+def test_detector_walks_seasons(spark):
+    from tempora.operators.detectors import Detector
+
+    rows = [("a", datetime(2024, 1, 1 + i // 24, i % 24), (10.0 if i % 24 < 12 else 50.0) + i % 3) for i in range(240)]
+    rows[200] = ("a", rows[200][1], 500.0)
+    frame = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    found = Detector("d", "v", "ts", ["k"], season="1d", slot="12h").verdicts(frame)
+    assert found.count() == 240 and [r.value for r in found.where("anomaly").collect()] == [500.0]
+    shifted = frame.withColumn("v", F.when(F.col("ts") > F.lit(datetime(2024, 1, 6)), F.col("v") + 3).otherwise(F.col("v")))
+    assert Detector("d", "v", "ts", ["k"], method="cusum", season="1d", slot="12h").verdicts(shifted).where("anomaly").count() > 0
+
+
+def test_histograms(spark):
+    from tempora.functions import histograms as H
+
+    values = [(i % 2, float(i)) for i in range(1, 1001)] + [(0, 0.0)]
+    one = H.observe(spark.createDataFrame(values, "k int, v double"), ["k"], "v")
+    h = F.col("histogram")
+    row = H.merge(one, []).select(H.histogram_count(h).alias("n"), H.histogram_avg(h).alias("m"), H.histogram_quantile(0.5, h).alias("q"), H.histogram_fraction(0, 250, h).alias("f"), H.histogram_stdvar(h).alias("v")).first()
+    assert row.n == 1001 and abs(row.m - 500.5 * 1000 / 1001) < 1e-6 and abs(row.q - 500) < 25 and abs(row.f - 0.25) < 0.02 and abs(row.v / 83333 - 1) < 0.1
+
+
+def test_composites_and_scalars(spark):
+    from tempora.api import Database
+    from tempora.operators import derived
+
+    rows = [(datetime(2024, 1, 1, 0, i), float(i), float(10 - i)) for i in range(10)]
+    frame = spark.createDataFrame(rows, "ts timestamp_ntz, a double, b double")
+    found = derived.composite(frame, "ts", {"high": "a > 5", "low": "b < 3"}, 2).collect()
+    assert [r.ts.minute for r in found] == [8, 9] and found[0].severity == "critical"
+    assert derived.composite(frame, "ts", {"high": "a > 5"}, 1, 3600 * 10**6).count() == 1
+    db = Database(spark)
+    db.add("m", frame.withColumn("tag", F.lit("x")), "ts", ["tag"], ["a"])
+    at = 1704067200 * 10**6 + 9 * 60 * 10**6
+    assert db.query_promql("scalar(m_a) * 2", at).first().value == 18.0 and db.list_metrics() == ["m_a"]
+    assert db.query_sql("SELECT count(*) AS n FROM m").first().n == 10 and "Scan" in db.explain("SELECT * FROM m")
+    assert {r.name: r.n for r in db.cardinality("m").collect()} == {"series": 1, "tag": 1}
+    assert db.detect_anomalies("m", "a").count() == 10 and db.forecast("m", "a", 2, "linear").count() == 2
