@@ -152,6 +152,8 @@ def _texts(batch: pa.RecordBatch, name: str = "text"):
 
 
 def _anchors(length: int):
+    """(anchor, k1, n): the distinct anchors of each text with their number in it; a text that a task meets again is passed over."""
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -160,12 +162,19 @@ def _anchors(length: int):
                 first, _, hashes = fragments(data, offsets, length)
                 rows = np.searchsorted(offsets, first, "right") - 1 + row
                 once = np.zeros(len(batch), bool)
-                for i in range(row, row + len(offsets) - 1):  # equal texts give equal anchors
+                for i in range(row, row + len(offsets) - 1):
                     key = int(keys[i])
                     once[i] = key not in seen
                     seen.add(key)
                 keep = once[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(keys[rows[keep]])], ["anchor", "k1"])
+                hashes, rows = hashes[keep], rows[keep]
+                order = np.lexsort((hashes, rows))
+                hashes, rows = hashes[order], rows[order]
+                new = np.ones(len(rows), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+                cuts = np.flatnonzero(new)
+                counts = np.diff([*cuts, len(rows)])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[cuts].view(np.int64)), pa.array(keys[rows[cuts]]), pa.array(counts, pa.int64())], ["anchor", "k1", "n"])
 
     return run
 
@@ -302,9 +311,9 @@ def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "te
     texts = documents.select(F.col(id_column).alias("doc_id"), body.alias("text"), *hashes)
 
     # anchors that occur in more than one place or text, and texts that occur more than once
-    anchors = materialize(texts.select("text", "k1").mapInArrow(_anchors(length), "anchor long, k1 long"))
-    often = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = anchors.join(often, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
+    anchors = materialize(texts.select("text", "k1").mapInArrow(_anchors(length), "anchor long, k1 long, n long"))
+    often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    wanted = anchors.drop("n").join(often, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
     copies = texts.select("k1", "k2", F.octet_length("text").alias("n")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
     copies = copies.where((F.col("copies") > 1) & (F.col("n") >= length)).select("k1", "k2", F.lit(0).cast("long").alias("low"), (F.col("n") - length).cast("long").alias("high"))
     copies = materialize(copies)
