@@ -243,3 +243,30 @@ def test_composites_and_scalars(spark):
     assert db.query_sql("SELECT count(*) AS n FROM m").first().n == 10 and "Scan" in db.explain("SELECT * FROM m")
     assert {r.name: r.n for r in db.cardinality("m").collect()} == {"series": 1, "tag": 1}
     assert db.detect_anomalies("m", "a").count() == 10 and db.forecast("m", "a", 2, "linear").count() == 2
+
+
+def test_models_as_rows(spark, tmp_path):
+    from tempora.operators import lifecycle
+
+    registry = lifecycle.Registry(spark, str(tmp_path / "models"))
+    with pytest.raises(KeyError):
+        registry.load("m")
+    assert registry.save("m", {"alpha": 0.1}) == 1 and registry.save("m", {"alpha": 0.2}, {"stage": "live"}) == 2
+    assert registry.load("m") == {"alpha": 0.2} and registry.load("m", 1) == {"alpha": 0.1} and registry.load("m", tags={"stage": "live"})["alpha"] == 0.2
+    rows = spark.createDataFrame([(i, 1.0 * i, 1.0 * i, i + 1.0 if i < 50 else i + 9.0) for i in range(100)], "id long, y double, a double, b double")
+    arms = {r.arm: r for r in lifecycle.compare(rows, "id", "y", "a", "b", 30).collect()}
+    assert arms["champion"].mae == 0 and arms["challenger"].mae > 1 and arms["champion"].n + arms["challenger"].n == 100
+    tracked = lifecycle.tracked_accuracy(rows, [], ["id"], "y", "b", 10)
+    assert tracked.where("stale").count() > 0 and tracked.where("stale and id < 50").count() == 0
+    flags = spark.createDataFrame([("d", True, True), ("d", True, False), ("d", False, True), ("d", True, None)], "k string, anomaly boolean, ok boolean")
+    assert lifecycle.feedback_precision(flags, ["k"], "anomaly", "ok").first().precision == 0.5
+
+
+def test_archives(spark, tmp_path):
+    from tempora.sources import storage
+
+    rows = spark.createDataFrame([(datetime(2024, 1, d), float(d)) for d in range(1, 11)], "ts timestamp_ntz, v double")
+    stays = storage.archive(rows, str(tmp_path / "cold"), "m", "ts", datetime(2024, 1, 6))
+    assert stays.count() == 5 and storage.cold_tier(spark, str(tmp_path / "cold"), "m").count() == 5
+    storage.export(rows, str(tmp_path / "out"), 4)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
