@@ -123,3 +123,38 @@ def rank_correlations(rows: DataFrame, keys: list[str], a: str, b: str) -> DataF
 
     fields = [rows.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in ("pearson", "spearman", "kendall")]
     return _apply(rows, keys, [a, b], run, fields[len(keys) :])
+
+
+def var_forecast(wide: DataFrame, keys: list[str], order: list[str], columns: list[str], lags: int, horizon: int) -> DataFrame:
+    """(keys, step, columns): a vector autoregression continued; no rows where it is not stable or too short."""
+    fields = [wide.schema[k] for k in keys] + [T.StructField("step", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in columns]
+
+    def run(pdf):
+        x = pdf.sort_values(order)[columns].dropna().to_numpy(float)
+        try:
+            if len(x) < lags * len(columns) + lags + 3:
+                raise ValueError("too short")
+            ahead = K.var_model(x, lags, horizon)
+        except ValueError:
+            return pd.DataFrame({f.name: [] for f in fields})
+        made = {k: [pdf[k].iloc[0]] * horizon for k in keys} | {"step": np.arange(1, horizon + 1)}
+        return pd.DataFrame(made | {c: ahead[:, i] for i, c in enumerate(columns)})
+
+    return _apply(wide, keys, [*order, *columns], run, fields[len(keys) :])
+
+
+def granger(wide: DataFrame, keys: list[str], order: list[str], columns: list[str], lags: int) -> DataFrame:
+    """(keys, cause, effect, f, p, p_adjusted) for all ordered pairs of columns, corrected by Benjamini and Hochberg."""
+    outputs = [T.StructField("cause", T.StringType()), T.StructField("effect", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in ("f", "p", "p_adjusted"))]
+
+    def run(pdf):
+        x = pdf.sort_values(order)[columns].dropna()
+        pairs = [(a, b) for a in columns for b in columns if a != b]
+        if len(x) < 3 * lags + 3:
+            return pd.DataFrame({n: [] for n in (*keys, *(o.name for o in outputs))})
+        found = [K.granger(x[a].to_numpy(float), x[b].to_numpy(float), lags) for a, b in pairs]
+        p = np.array([f[1] for f in found])
+        made = {k: [pdf[k].iloc[0]] * len(pairs) for k in keys}
+        return pd.DataFrame(made | {"cause": [a for a, _ in pairs], "effect": [b for _, b in pairs], "f": [f[0] for f in found], "p": p, "p_adjusted": K.benjamini_hochberg(p)})
+
+    return _apply(wide, keys, [*order, *columns], run, outputs)

@@ -5,9 +5,13 @@ from __future__ import annotations
 import difflib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tempora.functions import kernels
 from tempora.functions.buckets import parse_width
+from tempora.session import ship
 
 _READS = ("select", "with", "values", "from", "table", "show", "describe", "desc", "explain", "(")
 _WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|copy|load|cache|uncache|refresh|set|reset|grant|revoke|use|analyze|msck|repair)\b", re.I)
@@ -68,11 +72,40 @@ def _arguments(text: str, start: int) -> tuple[list[str], int]:
     raise ValueError("a bracket is not closed")
 
 
+def _samples_sql(v: str, ts: str) -> str:
+    """The (t, v) of a group by time; of equal times the largest value."""
+    rows = f"array_sort(collect_list(CASE WHEN ({v}) IS NOT NULL AND ({ts}) IS NOT NULL THEN named_struct('t', unix_micros(CAST({ts} AS TIMESTAMP)), 'v', CAST({v} AS DOUBLE)) END))"
+    return f"filter({rows}, (x, i) -> coalesce(get({rows}, i + 1).t <> x.t, true))"
+
+
+def _rate_sql(v: str, ts: str) -> str:
+    s = _samples_sql(v, ts)
+    rise = f"aggregate({s}, named_struct('p', CAST(NULL AS DOUBLE), 'a', 0D), (a, x) -> named_struct('p', x.v, 'a', a.a + CASE WHEN a.p IS NULL THEN 0D WHEN x.v < a.p THEN x.v ELSE x.v - a.p END), a -> a.a)"
+    return f"CASE WHEN size({s}) >= 2 THEN {rise} / ((element_at({s}, -1).t - element_at({s}, 1).t) / 1e6D) END"
+
+
+def _irate_sql(v: str, ts: str) -> str:
+    s = _samples_sql(v, ts)
+    b, a = f"try_element_at({s}, -1)", f"try_element_at({s}, -2)"
+    return f"CASE WHEN size({s}) >= 2 THEN (CASE WHEN {b}.v < {a}.v THEN {b}.v ELSE {b}.v - {a}.v END) / (({b}.t - {a}.t) / 1e6D) END"
+
+
+#: Aggregates of the time-series dialect over (value, time).
+_AGGREGATES = {"first": lambda v, t: f"min_by({v}, {t})", "last": lambda v, t: f"max_by({v}, {t})", "rate": _rate_sql, "irate": _irate_sql}
+
+
 def rewrite(text: str, time_columns: tuple[str, ...] = ("_time",)) -> str:
     """time_bucket('width', ts) and integer epochs (nanoseconds) beside time columns, as Spark SQL."""
     while found := re.search(r"\btime_bucket\s*\(", text, re.I):
         arguments, end = _arguments(text, found.end() - 1)
         text = text[: found.start()] + _bucket_sql(arguments[0].strip("'"), arguments[1]) + text[end:]
+    at = 0
+    while found := re.compile(r"(?<![.\w])(first|last|rate|irate)\s*\(", re.I).search(text, at):
+        arguments, end = _arguments(text, found.end() - 1)
+        at = found.end()
+        if len(arguments) == 2 and arguments[1].lower() not in ("true", "false"):
+            made = _AGGREGATES[found[1].lower()](*arguments)
+            text, at = text[: found.start()] + made + text[end:], found.start() + len(made)
     for column in time_columns:
         name, number = re.escape(column), r"(-?\d{10,19})(?![\d.eE])"
         as_time = lambda ns: f"CAST(timestamp_micros({int(ns) // 1000}) AS TIMESTAMP_NTZ)"
@@ -99,6 +132,18 @@ class SqlSession:
         guard(text)
         return self.spark.sql(rewrite(text, self.time_columns))
 
+    def register_forecasts(self) -> None:
+        """SQL aggregates forecast(v, ts, n) and auto_forecast(v, ts, n), arrays of the next n values of a group; a group is one series."""
+        ship(self.spark)
+        for name, kernel, least in (("forecast", kernels.ses, 2), ("auto_forecast", kernels.auto_forecast, 8)):
+
+            def run(v: pd.Series, ts: pd.Series, n: pd.Series, kernel=kernel, least=least) -> list:
+                rows = pd.DataFrame({"v": v, "t": ts}).dropna().sort_values("t", kind="stable").drop_duplicates("t", keep="last")
+                return kernel(rows["v"].to_numpy(float), int(n.iloc[0])).mean.tolist() if len(rows) >= least else None
+
+            run.__annotations__ = {"v": pd.Series, "ts": pd.Series, "n": pd.Series, "return": list}
+            self.spark.udf.register(name, F.pandas_udf(run, "array<double>", F.PandasUDFType.GROUPED_AGG))
+
     def suggest(self, name: str) -> list[str]:
         """Names like a misspelt one."""
         return difflib.get_close_matches(name, self.names)

@@ -242,3 +242,19 @@ def correlation_matrix(spark, sf_dir):
 
     wide = derived.align(table(spark, sf_dir, "events"), "event_type", ["click", "view"], "ts", "value", "1d")
     return derived.correlation_matrix(wide, ["click", "view"]).where("a <> b").select("a", "b", F.round("r", 6).alias("r"))
+
+
+def _wide(spark, sf_dir):
+    from tempora.operators import derived
+
+    return derived.align(table(spark, sf_dir, "events"), "event_type", ["click", "view", "purchase"], "ts", "value", "6h").fillna(0.0).withColumn("site", F.lit("all"))
+
+
+@query()
+def var_forecast(spark, sf_dir):
+    return series.var_forecast(_wide(spark, sf_dir), ["site"], ["ts"], ["click", "view"], 2, 4)
+
+
+@query()
+def granger_causality(spark, sf_dir):
+    return series.granger(_wide(spark, sf_dir), ["site"], ["ts"], ["click", "view"], 2)

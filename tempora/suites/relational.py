@@ -69,3 +69,6 @@ _sql("unnest", "SELECT n_nationkey, x FROM nation LATERAL VIEW explode(sequence(
 _sql("presence_scan", "SELECT DISTINCT user_id, event_type FROM events WHERE value IS NOT NULL")
 _sql("tpch_q1", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus")
 _sql("tpch_q5", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name")
+_STEPS = "steps AS (SELECT *, lag(value) OVER w AS pv, lag(ts) OVER w AS pt, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS back FROM (SELECT user_id, ts, max(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY user_id ORDER BY ts))"
+_sql("sql_first_last", "SELECT event_type, first(value, ts) AS f, last(value, ts) AS l FROM events GROUP BY event_type", "SELECT event_type, arg_min(value, ts) AS f, arg_max(value, ts) AS l FROM events GROUP BY event_type")
+_sql("sql_rate", "SELECT user_id, round(rate(value, ts), 6) AS r, round(irate(value, ts), 6) AS i FROM events GROUP BY user_id", f"WITH {_STEPS} SELECT user_id, round(CASE WHEN count(*) >= 2 THEN sum(CASE WHEN pv IS NULL THEN 0.0 WHEN value < pv THEN value ELSE value - pv END) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) END, 6) AS r, round(max(CASE WHEN back = 1 AND pv IS NOT NULL THEN (CASE WHEN value < pv THEN value ELSE value - pv END) / ((epoch_us(ts) - epoch_us(pt)) / 1e6) END), 6) AS i FROM steps GROUP BY user_id")

@@ -270,3 +270,11 @@ def test_archives(spark, tmp_path):
     assert stays.count() == 5 and storage.cold_tier(spark, str(tmp_path / "cold"), "m").count() == 5
     storage.export(rows, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_forecasts_in_sql(spark):
+    rows = [("a", datetime(2024, 1, 1, 0, i), 5.0 + i) for i in range(20)] + [("b", datetime(2024, 1, 1), 1.0)]
+    session = SqlSession(spark, {"m": spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")})
+    session.register_forecasts()
+    got = {r.k: (r.f, r.a) for r in session.sql("SELECT k, forecast(v, ts, 2) AS f, auto_forecast(v, ts, 3) AS a FROM m GROUP BY k").collect()}
+    assert len(got["a"][0]) == 2 and abs(got["a"][1][2] - 27.0) < 1.0 and got["b"] == (None, None)
