@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that are worked on at once in a Python worker; a longer text is worked on alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of materialised tables by application and scope, for tables made within a scope.
+_tables: dict[tuple[str, str], list[str]] = {}
+_scope: list[str] = []
+
+
+@contextmanager
+def scope(name: str, frame: DataFrame):
+    """Tables materialised inside belong to a named scope; earlier ones of it that the frame does not read are deleted first."""
+    spark = frame.sparkSession
+    mine = _tables.setdefault((spark.sparkContext.applicationId, name), [])
+    if mine:
+        read = {found[1] for f in frame.inputFiles() if (found := re.search(r"/tables/([0-9a-f]{32})/", f))}
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [p for p in mine if p.rsplit("/", 1)[1] not in read]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            mine.remove(path)
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
 def materialize(frame: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there and lost executors cost nothing done before."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    if _scope:
+        _tables.setdefault((spark.sparkContext.applicationId, _scope[-1]), []).append(path)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -62,6 +93,29 @@ def text_key(text: str) -> list:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text, F.octet_length(text)).alias("k2")]
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; idle workers are kept for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run):
+    """A function over Arrow batches whose worker gives its memory back at the end of each task."""
+
+    @wraps(run)
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lean_run
+
+
 # ---- Arrow buffers ---------------------------------------------------------------------------
 
 
@@ -115,7 +169,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n + 1:
-        size = max(n + 1, CHUNK_BYTES + 1)
+        size = max(n + n // 4 + 1, 2 * CHUNK_BYTES)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         up, down = np.full(size, _BASE), np.full(size, inverse)
         up[0] = down[0] = 1
