@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import chunks, materialize, mix, small_batches, utf8, word_shingles
+from tempora.llm.common import chunks, give_back, lean, materialize, mix, small_batches, utf8, word_shingles
 from tempora.llm.components import components
 
 WORDS = 5
@@ -190,6 +190,8 @@ def _compared(threshold: float, tolerance: float):
         forest = _Forest(len(keys))
         edges = [(keys[i], keys[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if forest.join(i, j)]
         linked = np.flatnonzero(links)
+        if table.nbytes > 4 << 20:
+            give_back()
         return _links([keys[i] for i in linked], links[linked].astype(np.int64).tolist(), edges)
 
     return compare
@@ -208,7 +210,7 @@ def link(documents: DataFrame, id_column: str = "doc_id", text: str = "text", th
     body = F.coalesce(F.col(text), F.lit(""))
     hashes = [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body, F.octet_length(body)).alias("k2")]
     texts = documents.select(F.col(id_column).alias("doc_id"), body.alias("text"), *hashes)
-    rows = materialize(texts.mapInArrow(_described, f"doc_id {kind}, k1 long, k2 long, key binary, bands array<long>"))
+    rows = materialize(texts.mapInArrow(lean(_described), f"doc_id {kind}, k1 long, k2 long, key binary, bands array<long>"))
 
     # classes of equal sets, each standing for itself by one of its texts
     worded = rows.where("key is not null").withColumn("node", F.xxhash64("key"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialize, small_batches
+from tempora.llm.common import lean, materialize, small_batches
 
 SEQUENCE = 2048
 #: Tasks whose offsets are broadcast; more are joined by shuffle.
@@ -57,7 +57,7 @@ def tokenise(documents: DataFrame, ranks: dict[bytes, int], pattern: str, end_id
             columns = [pa.array([part] * len(starts), pa.int32()), pa.array(starts, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "local_start", "doc_id", "n", "ids"])
 
-    return documents.select(F.col(id_column), F.col(text)).mapInArrow(run, f"part int, local_start long, doc_id {kind}, n long, ids binary")
+    return documents.select(F.col(id_column), F.col(text)).mapInArrow(lean(run), f"part int, local_start long, doc_id {kind}, n long, ids binary")
 
 
 def offsets(tokenised: DataFrame) -> DataFrame:
@@ -98,5 +98,5 @@ def pack(documents: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: in
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "continues", "ids"])
 
     small_batches(spark)
-    pieces = placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, continues boolean, ids binary")
+    pieces = placed.mapInArrow(lean(cut), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, continues boolean, ids binary")
     return pieces if with_ids else pieces.drop("ids")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import RangeHash, chunks, materialize, small_batches, utf8
+from tempora.llm.common import RangeHash, chunks, lean, materialize, small_batches, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -274,7 +274,7 @@ def _columns(rows: list[tuple]):
     return np.array(anchors, np.int64), list(contents), list(blobs), np.array(several, np.int64)
 
 
-def _removed(length: int, with_kept: bool):
+def _removed(length: int, with_kept: bool, whole_characters: bool = False):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
@@ -291,6 +291,8 @@ def _removed(length: int, with_kept: bool):
                 if gone:
                     edges = [0, *(x for g in gone for x in g), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                if gone and whole_characters:
+                    kept = kept.decode(errors="ignore").encode()
                 rows.append((sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept).hexdigest() if text is not None else digest, kept if with_kept else None))
             removed, spans, digests, kept = zip(*rows, strict=True) if rows else ([], [], [], [])
             columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())]
@@ -299,8 +301,11 @@ def _removed(length: int, with_kept: bool):
     return run
 
 
-def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, with_kept: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and the kept bytes if wanted."""
+def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, with_kept: bool = True, whole_characters: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and the kept bytes if wanted.
+
+    ``whole_characters``: what is left of a character at a cut goes from the kept bytes too.
+    """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = documents.sparkSession
@@ -311,7 +316,7 @@ def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "te
     texts = documents.select(F.col(id_column).alias("doc_id"), body.alias("text"), *hashes)
 
     # anchors that occur in more than one place or text, and texts that occur more than once
-    anchors = materialize(texts.select("text", "k1").mapInArrow(_anchors(length), "anchor long, k1 long, n long"))
+    anchors = materialize(texts.select("text", "k1").mapInArrow(lean(_anchors(length)), "anchor long, k1 long, n long"))
     often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     wanted = anchors.drop("n").join(often, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
     copies = texts.select("k1", "k2", F.octet_length("text").alias("n")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
@@ -320,25 +325,19 @@ def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "te
     none = F.array().cast("array<long>")
     marked = wanted.unionByName(copies.select("k1", none.alias("anchors"))).groupBy("k1").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
 
-    pieces = materialize(texts.join(marked, "k1", "left").select("doc_id", "text", "k1", "k2", "anchors").mapInArrow(_fragmented(length, with_kept), f"{_PIECES}, doc_id {kind}"))
+    pieces = materialize(texts.join(marked, "k1", "left").select("doc_id", "text", "k1", "k2", "anchors").mapInArrow(lean(_fragmented(length, with_kept)), f"{_PIECES}, doc_id {kind}"))
     found = pieces.where("kind = 0").select("anchor", "content", "k1", "k2", "first", "data")
     origin = F.xxhash64("k1", "k2", "first")
     contents = found.groupBy("anchor", "content").agg(F.first("data").alias("data"), (F.min(origin) != F.max(origin)).cast("int").alias("several"))
-    ranges = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_out(length), "anchor long, content long, low long, high long")
+    ranges = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_sorted_out(length)), "anchor long, content long, low long, high long")
     spans = found.drop("data").join(ranges, ["anchor", "content"]).select("k1", "k2", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
     spans = spans.unionByName(copies).groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     done = pieces.where("kind = 1").select("doc_id", "data", "n_bytes", "digest", F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("ranges"))
     open_ = pieces.where("kind = 2").select("k1", "k2", "doc_id", "data", "n_bytes", "digest").join(spans, ["k1", "k2"], "left").select("doc_id", "data", "n_bytes", "digest", "ranges")
-    out = done.unionByName(open_).mapInArrow(_removed(length, with_kept), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = done.unionByName(open_).mapInArrow(lean(_removed(length, with_kept, whole_characters)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_kept else out.drop("kept")
 
 
-def _as_text(batches):
-    for batch in batches:
-        texts = [(b or b"").decode(errors="ignore") for b in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "kept_text"])
-
-
 def rewrite(documents: DataFrame, text: str = "text", length_column: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
     """The documents with repeated strings taken out of their texts, with all their columns.
 
@@ -348,8 +347,8 @@ def rewrite(documents: DataFrame, text: str = "text", length_column: str | None
     columns = documents.columns
     others = [c for c in columns if c != text and c != length_column]
     named = documents.select(F.struct(F.col(f"`{text}`").isNull().alias("__null"), *(F.col(f"`{c}`") for c in others)).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    kept = deduplicate(named, "__row", "__text", length).mapInArrow(_as_text, f"doc_id {dict(named.dtypes)['__row']}, kept_text string")
-    body = F.when(~F.col("doc_id.__null"), F.col("kept_text"))
+    kept = deduplicate(named, "__row", "__text", length, whole_characters=True)
+    body = F.when(~F.col("doc_id.__null"), F.col("kept").cast("string"))
     values = {c: F.col(f"doc_id.`{c}`") for c in others} | {text: body}
     if length_column in columns:
         values[length_column] = F.length(body).cast(dict(documents.dtypes)[length_column])

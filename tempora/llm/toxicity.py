@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialize, small_batches
+from tempora.llm.common import lean, materialize, small_batches
 
 SAMPLE_ROWS = 10_000
 MAX_MARKERS = 2_000
@@ -147,7 +147,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return None
-    words = sample.mapInArrow(_word_lists, "row long, toxic int, word string, n long")
+    words = sample.mapInArrow(lean(_word_lists), "row long, toxic int, word string, n long")
     seen = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= MIN_DOCUMENTS)
     n = float(bad + good)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
@@ -159,7 +159,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
         return None
     at = {r.word: i for i, r in enumerate(markers)}
     strong = np.array([r.odds > 2 for r in markers])
-    marked = sample.mapInArrow(_marked(at), "row long, toxic int, markers array<int>, counts array<long>").collect()  # at most sample_rows rows
+    marked = sample.mapInArrow(lean(_marked(at)), "row long, toxic int, markers array<int>, counts array<long>").collect()  # at most sample_rows rows
     marked = sorted(marked, key=lambda r: r.row)
     entries = [(i, m, c) for i, r in enumerate(marked) for m, c in zip(r.markers, r.counts, strict=True)]
     rows, columns, counts = (np.array(x) for x in zip(*entries, strict=True))
@@ -181,15 +181,15 @@ def score(documents: DataFrame, model: Model | None, id_column: str = "doc_id",
         model = shared.value
         thresholds = model.thresholds if model else np.full(1, np.inf)
         for batch in batches:
-            texts = [(data or b"").decode(errors="replace") for data in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            totals = [model.total(text) if model else 0.0 for text in texts]
+            texts = batch.column(1).cast(pa.large_binary())
+            totals = [model.total((text.as_py() or b"").decode(errors="replace")) if model else 0.0 for text in texts]
             over = _sigmoid(np.array(totals, float)[:, None] - thresholds[None, :]) if model else np.zeros((len(totals), 1))
             steps = np.concatenate([np.ones((len(over), 1)), over, np.zeros((len(over), 1))], axis=1)
             grade = np.argmax(steps[:, :-1] - steps[:, 1:], axis=1)
             columns = [batch.column(0), pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(grade, pa.int32()), pa.array(over[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
-    return documents.select(F.col(id_column), F.col(text)).mapInArrow(run, f"doc_id {kind}, severity double, p_toxic double, grade int, toxic boolean")
+    return documents.select(F.col(id_column), F.col(text)).mapInArrow(lean(run), f"doc_id {kind}, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def filter_toxic(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -201,8 +201,8 @@ def filter_toxic(documents: DataFrame, model: Model | None, text: str = "text")
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = [(data or b"").decode(errors="replace") for data in batch.column(position).cast(pa.large_binary()).to_pylist()]
-            keep = [not model or model.total(text) < model.thresholds[0] for text in texts]
+            texts = batch.column(position).cast(pa.large_binary())
+            keep = [not model or model.total((text.as_py() or b"").decode(errors="replace")) < model.thresholds[0] for text in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
