@@ -17,8 +17,10 @@ other columns than those named are left out; an empty table gives an empty resul
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 
 from tempora.llm.common import small_batches
 
-MAX_STATES = 200_000
-MAX_WORDS = 200_000
+MAX_STATES = 500_000
+MAX_WORDS = 300_000
 LONGEST_CACHED = 48
+#: Bytes of a word whose way through the states is kept.
+HEAD = 6
 
 
 def read_ranks(lines: list[str]) -> dict[bytes, int]:
@@ -38,12 +42,18 @@ def read_ranks(lines: list[str]) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+_BYTES = [bytes([i]) for i in range(256)]
+
+
 class _State:
-    __slots__ = ("settled", "pending", "last", "next", "final")
+    """The settled token, the bytes after it, the token that ends each prefix of them, where each prefix's first token
+    ends, and the places at which a longer token may have begun."""
+
+    __slots__ = ("settled", "pending", "last", "heads", "alive", "next", "final")
 
-    def __init__(self, settled: int, pending: bytes, last: list[int], final: tuple[int, ...]):
-        self.settled, self.pending, self.last, self.final = settled, pending, last, final
-        self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
+    def __init__(self, settled: int, pending: bytes, last: list[int], heads: list[int], alive: list[int], final: list[int]):
+        self.settled, self.pending, self.last, self.heads, self.alive, self.final = settled, pending, last, heads, alive, final
+        self.next: dict[int, tuple[_State, list[int]]] = {}
 
 
 class Transducer:
@@ -52,16 +62,24 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.max_states = max_states
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
+        #: (rank or -1, whether a longer token begins so) of all stable tokens and beginnings of tokens
+        self.known: dict[bytes, tuple[int, bool]] = {token[:i]: (-1, True) for token in ranks for i in range(1, len(token))}
+        for token, rank in ranks.items():
+            if self.halves(rank) is not None:
+                self.known[token] = (rank, token in self.known)
         self._clear()
 
     def _clear(self) -> None:
+        if hasattr(self, "states"):
+            for state in self.states.values():  # states refer to each other; undone, they go at once
+                state.next.clear()
         self.states: dict[tuple[int, bytes], _State] = {}
-        self.start = self.states[-1, b""] = _State(-1, b"", [], ())
+        self.heads: dict[bytes, tuple[_State, list[int]]] = {}
+        self.start = self.states[-1, b""] = _State(-1, b"", [], [], [], [])
 
     def _merge(self, word: bytes, stop: int = 1) -> list[bytes]:
         """The merges in order of rank, until ``stop`` parts are left or none applies."""
@@ -88,87 +106,111 @@ class Transducer:
 
     def apart(self, left: int, right: int) -> bool:
         """True if the merges leave these two stable tokens side by side."""
-        key = (left, right)
-        if key not in self._apart:
-            self._apart[key] = self._never_joined(left, right)
-            if len(self._apart) > 4 * self.max_states:
-                kept = self._apart[key]
-                self._apart.clear()
-                return kept
-        return self._apart[key]
+        found = self._never_joined(left, right)
+        if len(self._apart) >= 4 * self.max_states:
+            self._apart.clear()
+        self._apart[left << 32 | right] = found
+        return found
 
     def _never_joined(self, left: int, right: int) -> bool:
         # Undo merges from the youngest back: at each moment the tokens touching the border
         # must not have had a merge of their own that would have come before the next one.
-        before = 1 << 62
+        # Of two equal tokens the merges make the left one first, so the right one is undone first.
+        words, halves, rank_of, never = self.bytes, self._halves, self.ranks.get, 1 << 62
+        before, a, b = never, words[left], words[right]
         while True:
-            joined = self.ranks.get(self.bytes[left] + self.bytes[right], 1 << 62)
-            if joined < before:
+            if rank_of(a + b, never) < before:
                 return False
-            a, b = len(self.bytes[left]) > 1, len(self.bytes[right]) > 1
-            if not (a or b):
-                return True
-            # of two equal tokens the merges make the left one first, so the right one is undone first
-            if a and (not b or left > right):
-                before, left = left, self.halves(left)[1]
+            if len(a) > 1 and (len(b) == 1 or left > right):
+                before, left = left, halves[left][1]
+                a = words[left]
+            elif len(b) > 1:
+                before, right = right + 1, halves[right][0]
+                b = words[right]
             else:
-                before, right = right + 1, self.halves(right)[0]
+                return True
 
-    def _last_token(self, settled: int, pending: bytes, last: list[int]) -> int:
+    def _step(self, state: _State, byte: int) -> tuple[_State, list[int]]:
+        known, size, is_apart = self.known, self.size, self._apart.get
+        pending, settled, last, heads = state.pending + _BYTES[byte], state.settled, state.last, state.heads
         end = len(pending)
-        for start in range(max(0, end - self.longest), end):
-            token = self.ranks.get(pending[start:])
-            if token is None or self.halves(token) is None:
+        # the token that ends here began where a longer token could, or is the byte
+        token, begin, alive = -1, 0, []
+        for start in [*state.alive, end - 1]:
+            found = known.get(pending[start:])
+            if found is None:
                 continue
-            previous = last[start - 1] if start else settled
-            if previous < 0 or self.apart(previous, token):
-                return token
-        raise ValueError("a byte has no token")
-
-    def _path(self, last: list[int], end: int) -> list[int]:
-        path = []
-        while end:
-            path.append(last[end - 1])
-            end -= len(self.bytes[last[end - 1]])
-        return path[::-1]
-
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        pending = state.pending + bytes([byte])
-        last = [*state.last, self._last_token(state.settled, pending, state.last)]
-        shared = self._path(last, len(pending))
-        for start in range(max(0, len(pending) - self.longest), len(pending)):
-            if pending[start:] in self.prefixes:  # a token may yet start here
-                other = self._path(last, start)
-                n = 0
-                while n < min(len(shared), len(other)) and shared[n] == other[n]:
-                    n += 1
-                shared = shared[:n]
-                if not n:
-                    break
-        if shared:
-            cut = sum(len(self.bytes[t]) for t in shared)
-            key = (shared[-1], pending[cut:])
-        else:
-            cut, key = 0, (state.settled, pending)
-        found = self.states.get(key)
-        if found is None:
+            rank, longer = found
+            if longer:
+                alive.append(start)
+            if token < 0 <= rank:
+                previous = last[start - 1] if start else settled
+                if previous >= 0:
+                    apart = is_apart(previous << 32 | rank)
+                    if not (self.apart(previous, rank) if apart is None else apart):
+                        continue
+                token, begin = rank, start
+        if token < 0:
+            raise ValueError("a byte has no token")
+        head = heads[begin - 1] if begin else end
+        last, heads = [*last, token], [*heads, head]
+        # settle first tokens on which the whole word so far and all that may begin agree
+        out: list[int] = []
+        while pending:
+            head = heads[-1]
+            if alive and (alive[0] < head or any([heads[a - 1] != head for a in alive])):
+                break
+            settled = last[head - 1]
+            out.append(settled)
+            pending = pending[head:]
+            if not pending:
+                last, heads, alive = [], [], []
+                break
+            if len(pending) == 1:
+                last, heads, alive = [token], [1], [0] if alive else []
+                continue
+            last, alive, heads = last[head:], [a - head for a in alive], []
+            for at, t in enumerate(last, 1):
+                back = at - size[t]
+                heads.append(heads[back - 1] if back > 0 else at)
+        key = (settled, pending)
+        target = self.states.get(key)
+        if target is None:
             if len(self.states) >= self.max_states:
                 self._clear()
-            rest = last[cut:]
-            found = self.states[key] = _State(key[0], key[1], rest, tuple(self._path(rest, len(rest))))
-        edge = state.next[byte] = (found, tuple(shared))
+            final, at = [], len(pending)
+            while at:
+                t = last[at - 1]
+                final.append(t)
+                at -= size[t]
+            final.reverse()
+            target = self.states[key] = _State(settled, pending, last, heads, alive, final)
+        edge = state.next[byte] = (target, out)
         return edge
 
     def encode(self, word: bytes) -> list[int]:
-        ids: list[int] = []
-        state = self.start
-        for byte in word:
+        """Ids of a word; the way through its first bytes is kept, as many words share it."""
+        head = word[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            known = self._run(self.start, head, [])
+            if len(self.heads) < self.max_states:
+                self.heads[head] = known
+        state, ids = known
+        if len(word) > HEAD:
+            state, ids = self._run(state, word[HEAD:], ids)
+        return ids + state.final
+
+    def _run(self, state: _State, data: bytes, ids: list[int]) -> tuple[_State, list[int]]:
+        ids = ids[:]
+        for byte in data:
             edge = state.next.get(byte)
-            state, out = edge if edge is not None else self._step(state, byte)
+            if edge is None:
+                edge = self._step(state, byte)
+            state, out = edge
             if out:
                 ids += out
-        ids += state.final
-        return ids
+        return state, ids
 
 
 class _Words(dict):
@@ -176,12 +218,16 @@ class _Words(dict):
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.run = transducer.encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.transducer.encode(word.encode()), "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.run(word.encode())).tobytes()
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= MAX_WORDS:  # words that are met again move over, the others go next time
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -213,6 +259,7 @@ def _utf8_machine() -> list[list[int]]:
 
 _MACHINE = _utf8_machine()
 _BEYOND_ASCII = re.compile(rb"[\x80-\xff]+")
+_complete: set[bytes] = set()
 
 
 class StreamingDecoder:
@@ -225,21 +272,36 @@ class StreamingDecoder:
         data = self.waiting + b"".join(map(self.tokens.__getitem__, ids))
         self.waiting = b""
         wrong = False
-        for run in _BEYOND_ASCII.finditer(data):
-            state, begun = 0, run.start()
-            for at, byte in enumerate(run.group(), run.start()):
-                if not state:
-                    begun = at
-                state = _MACHINE[state][byte]
-                if state < 0:
-                    wrong, state = True, 0
-            if state:
-                if run.end() == len(data):
-                    data, self.waiting = data[:begun], data[begun:]
-                else:
-                    wrong = True
+        if data and data[-1] > 0x7F and (cut := self._unfinished(data[-3:])):
+            data, self.waiting = data[:-cut], data[-cut:]
+        for run in () if data.isascii() else set(_BEYOND_ASCII.findall(data)):  # equal runs take equal ways through the machine
+            wrong |= run not in _complete and not self._whole(run)
         return data.decode(errors="replace" if wrong else "strict")
 
+    @staticmethod
+    def _whole(run: bytes) -> bool:
+        state = 0
+        for byte in run:
+            state = _MACHINE[state][byte]
+            if state < 0:
+                return False
+        if not state and len(_complete) < 10_000:
+            _complete.add(run)
+        return not state
+
+    @staticmethod
+    def _unfinished(tail: bytes) -> int:
+        """Bytes of a character that the last bytes begin and do not end."""
+        for begun in range(len(tail) - 1, -1, -1):
+            if tail[begun] >= 0xC0:
+                state = 0
+                for byte in tail[begun:]:
+                    state = _MACHINE[state][byte]
+                    if state < 0:
+                        return 0
+                return len(tail) - begun if state else 0
+        return 0
+
     def finish(self) -> str:
         rest, self.waiting = self.waiting, b""
         return rest.decode(errors="replace")
@@ -273,6 +335,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, id_colum
     kind = dict(documents.dtypes)[id_column]
 
     def run(batches):
+        gc.disable()  # the caches hold many objects and make no garbage in cycles
         encoder, tokens = _encoder(key, *shared.value)
         for batch in batches:
             counts, all_ids, digests, decoded = [], [], [], []
