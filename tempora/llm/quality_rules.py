@@ -23,6 +23,8 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 #: A host is rejected where its shrunk rate of failed documents is above this.
 MAX_HOST_RATE = 0.5
+#: Rejected hosts that are broadcast to the documents.
+MAX_BROADCAST_HOSTS = 100_000
 _POSITION_BITS = 20
 
 
@@ -118,6 +120,11 @@ def keep(documents: DataFrame, text: str = "text", host: str = "source") -> Data
     row = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(text).alias("__text"), F.col(host).alias("__host"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     counted = materialize(measure(row, "__text").select("__row", "__host", failed.alias("__failed")))
-    rejected = host_verdicts(counted.select("__host", "__failed"), "__host", ["__failed"]).where("not host_kept").select(F.col("__host").alias("__bad_host"))
+    rejected = materialize(host_verdicts(counted.select("__host", "__failed"), "__host", ["__failed"]).where("not host_kept").select(F.col("__host").alias("__bad_host")))
+    n_rejected = rejected.count()
     passed = counted.where("not __failed")
+    if not n_rejected:
+        return passed.select("__row.*")
+    if n_rejected <= MAX_BROADCAST_HOSTS:  # else the texts are dealt by host
+        rejected = F.broadcast(rejected)
     return passed.join(rejected, F.col("__host").eqNullSafe(F.col("__bad_host")), "left_anti").select("__row.*")

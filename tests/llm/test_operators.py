@@ -66,6 +66,12 @@ def test_quality_rules(docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 13}
 
 
+def test_rejected_hosts_go(spark):
+    good = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, "short", "bad", 1, "k") for i in range(30)] + [(100, good, "bad", 1, "k")] + [(200 + i, good, "good", 1, "k") for i in range(40)]
+    assert {r.source for r in quality_rules.keep(spark.createDataFrame(rows, SCHEMA)).collect()} == {"good"}
+
+
 def test_hosts_are_shrunk(spark):
     rows = [(h, i < bad) for h, n, bad in (("bad", 40, 39), ("good", 400, 4), ("tiny", 1, 1)) for i in range(n)]
     found = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean"), "host", ["failed"]).collect()}
