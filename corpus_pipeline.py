@@ -62,7 +62,8 @@ def pack_documents(spark, docs, sf_dir):
     import public_tokenizers
 
     ranks = bpe.read_rank_file(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return packing.pack(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
+    added = packing.read_added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, ranks, public_tokenizers.PATTERN, with_ids=False, added=added)
 
 
 STAGES = [

@@ -6,12 +6,14 @@ are summed up to give each task its place among all tokens. Second pass: every d
 at the multiples of the sequence length. A piece that ends a sequence inside its document is a boundary record
 (``continues``): the rest of the document opens the next sequence. Only the last sequence can be short.
 
+Added tokens of a tokenizers file are matched in the texts themselves, as that library does by default.
 Null texts are empty: they give the end id only. Repeated rows and ids are packed row by row;
 other columns than those named are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -30,27 +32,41 @@ MAX_BROADCAST_TASKS = 1 << 18
 _held: dict = {}
 
 
-def _encoding(ranks: dict[bytes, int], pattern: str):
-    key = (len(ranks), pattern, next(iter(ranks)))
+def read_added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file, read on the driver; only those that are matched as they stand."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"added token {token['content']!r} isn't matched as it stands")
+    return {token["content"]: token["id"] for token in found}
+
+
+def _number(ranks: dict[bytes, int], added: dict[str, int], end_id: int) -> str:
+    return "<u2" if max(*ranks.values(), *added.values(), end_id) < 1 << 16 else "<u4"
+
+
+def _encoding(ranks: dict[bytes, int], pattern: str, added: dict[str, int]):
+    key = (len(ranks), pattern, next(iter(ranks)), *added.items())
     if key not in _held:
-        _held[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _held[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
     return _held[key]
 
 
-def tokenise(documents: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int, id_column: str, text: str) -> DataFrame:
+def tokenise(documents: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int, id_column: str, text: str, added: dict[str, int]) -> DataFrame:
     """(part, local_start, doc_id, n, ids) with ids as little-endian unsigned 16- or 32-bit numbers."""
     spark = documents.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((ranks, pattern))  # one vocabulary
+    shared = spark.sparkContext.broadcast((ranks, pattern, added))  # one vocabulary
     kind = dict(documents.dtypes)[id_column]
-    number = "<u2" if max(*ranks.values(), end_id) < 1 << 16 else "<u4"
+    number = _number(ranks, added, end_id)
 
     def run(batches):
         encoding, part, at = _encoding(*shared.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             starts, counts, ids = [], [], []
             for data in batch.column(1).cast(pa.large_binary()).to_pylist():
-                found = encoding.encode_ordinary((data or b"").decode(errors="replace"))
+                found = encoding.encode((data or b"").decode(errors="replace"), allowed_special="all", disallowed_special=())
                 found.append(end_id)
                 starts.append(at), counts.append(len(found)), ids.append(np.array(found, number).tobytes())
                 at += len(found)
@@ -67,12 +83,12 @@ def offsets(tokenised: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).cast("long").alias("base"))
 
 
-def pack(documents: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int = 1, length: int = SEQUENCE, id_column: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(documents: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int = 1, length: int = SEQUENCE, id_column: str = "doc_id", text: str = "text", with_ids: bool = True, added: dict[str, int] | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, continues, and ids (binary) if wanted."""
     spark = documents.sparkSession
-    kind = dict(documents.dtypes)[id_column]
-    tokenised = materialize(tokenise(documents, ranks, pattern, end_id, id_column, text))
-    number = "<u2" if max(*ranks.values(), end_id) < 1 << 16 else "<u4"
+    kind, added = dict(documents.dtypes)[id_column], added or {}
+    tokenised = materialize(tokenise(documents, ranks, pattern, end_id, id_column, text, added))
+    number = _number(ranks, added, end_id)
     bases = materialize(offsets(tokenised))
     if bases.count() <= MAX_BROADCAST_TASKS:
         bases = F.broadcast(bases)

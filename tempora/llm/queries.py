@@ -90,7 +90,8 @@ def op8_packing(spark, sf_dir):
     from tempora.llm import bpe, packing
 
     ranks = bpe.read_rank_file(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+    added = packing.read_added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False, added=added)
 
 
 @query()
