@@ -36,6 +36,18 @@ TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Passages of the full texts of licences and of the rest of their headers, by which those texts are found wherever they stand.
+PASSAGES = {
+    "apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "apache-2.0-warranty": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "bsd-2-clause-text": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "gpl-2.0-text": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "gpl-3.0-text": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-3.0-text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "mpl-2.0-text": '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.',
+}
 THRESHOLD = 0.8
 
 
@@ -113,7 +125,7 @@ def _overlaps(words: Column, w: Column, unit: Column) -> Column:
     return F.exists(places, lambda p: F.slice(words, p, F.size(unit)) == unit)
 
 
-def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES | PASSAGES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, n_units, dice): per document and template the distinct units at or over the threshold (above 0) and the best coefficient."""
     grams = {name: g for name, body in templates.items() if (g := _bigrams(body))}
     lengths = {name: len(_template_words(templates[name])) - 1 for name in grams}
