@@ -298,17 +298,41 @@ def auto_forecast(y: np.ndarray, horizon: int) -> Forecast:
     return found
 
 
-def conformal(y: np.ndarray, horizon: int, level: float = 0.9, model: str = "ses", origins: int = 20) -> Forecast:
-    """Bounds by quantiles of absolute out-of-sample errors at each horizon, with the rank correction."""
+def _walk_forward(y: np.ndarray, model: str, horizon: int, window: int) -> list[np.ndarray]:
+    """Absolute errors at each horizon from every origin after the window.
+
+    Simple smoothing is fitted on the window and then updated value by value; other models are fitted anew at every origin.
+    """
+    n = len(y)
+    if model == "ses":
+        alpha = ses(y[:window], 1).parameters["alpha"]
+        levels = np.empty(n - window)
+        level = _ses_errors(y[:window], alpha)[1]
+        for i in range(window, n):
+            levels[i - window] = level
+            level += alpha * (y[i] - level)
+        return [np.abs(y[window + h :] - levels[: max(0, n - window - h)]) for h in range(horizon)]
     errors: list[list[float]] = [[] for _ in range(horizon)]
-    for cut in range(max(4, len(y) - origins - horizon), len(y) - 1):
+    for cut in range(window, n):
         ahead = MODELS[model](y[:cut], horizon).mean
-        for h in range(min(horizon, len(y) - cut)):
+        for h in range(min(horizon, n - cut)):
             errors[h].append(abs(y[cut + h] - ahead[h]))
+    return [np.array(e) for e in errors]
+
+
+def conformal(y: np.ndarray, horizon: int, level: float = 0.9, model: str = "ses", window: int | None = None) -> Forecast:
+    """Bounds by quantiles of absolute out-of-sample errors at each horizon, with the rank correction.
+
+    Errors are of all origins after the window, half of the series (two or three values at least) unless it is given.
+    """
+    window = window or max(2 if model == "ses" else 3, len(y) // 2)
+    if len(y) <= window:
+        raise ValueError("a value after the window is needed")
+    errors = _walk_forward(y, model, horizon, window)
     found, half = MODELS[model](y, horizon), np.zeros(horizon)
     for h in range(horizon):
-        e = sorted(errors[h])
-        half[h] = e[min(len(e), math.ceil((len(e) + 1) * level)) - 1] if e else half[h - 1]
+        e = np.sort(errors[h])
+        half[h] = e[min(len(e), math.ceil((len(e) + 1) * level)) - 1] if len(e) else half[h - 1]
     half = np.maximum.accumulate(half)
     return Forecast(found.mean, found.mean - half, found.mean + half, found.parameters | {"level": level})
 
