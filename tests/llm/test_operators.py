@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -165,8 +166,8 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack(docs, _ranks("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=256).collect()
+    added = packing.read_added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs, _ranks("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=256, added=added).collect()
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in TEXTS}
     by_sequence, pieces = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -273,17 +274,50 @@ def _removed(texts, length):
 def test_suffix_dedup(spark, docs, empty):
     shared = "".join(chr(97 + i * i % 26) for i in range(1, 260))
     more = [(20, "p" * 10 + shared + "q" * 10), (21, "r" * 99 + shared), (22, shared[:199]), (23, shared[5:] + shared[:150]), (24, "é" * 150 + "b" + "é" * 150)]
-    frame = docs.select("doc_id", "text").where("doc_id not in (7, 8)").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     rows = [(r.doc_id, r.text) for r in frame.collect()]
     want = collections.Counter((i, *w) for (i, _), w in zip(rows, _removed([t for _, t in rows], 200), strict=True))
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(frame).collect())
     assert got == want
     assert suffixes.deduplicate(empty).count() == 0
+    for most in (0, 1, 3):  # keys dealt on down to single strings give the same
+        assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(frame, most=most).collect()) == want
     rewritten = suffixes.rewrite(docs.withColumn("n_chars", F.length("text").cast("long")))
     assert rewritten.columns == [*docs.columns, "n_chars"] and rewritten.where("doc_id = 3 and text is null").count() == 1
     assert rewritten.where("doc_id = 6 and text = 'one two' and n_chars = 7").count() == 1
 
 
+def test_hot_passage(spark):
+    """One passage with other words around it each time, and texts of one byte: no key holds more than a few fragments."""
+    rng = np.random.default_rng(3)
+    around = lambda n: "".join(rng.choice(list("abcdefghij é"), n))
+    passage = around(190)
+    texts = [around(int(rng.integers(0, 40))) + passage + around(int(rng.integers(0, 60))) for _ in range(150)] + [passage + "x" * 30, "x" * 700, "x" * 450, "y" * 230, "ab" * 300, "z" * 199] + [around(30) + passage + "q" * 8 + t for t in ("1" * 9, "2" * 9)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: w for i, w in enumerate(_removed(texts, 200))}
+    for most in (8, 10**6):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(frame, most=most).collect()}
+        assert got == want
+
+
+def test_rewrite_cuts_whole_characters(spark):
+    passage = "éü€😀" * 40
+    texts = [passage + "€" + "tail one", "head" + passage + "😀é", "\ufffd" + passage[3:], None, ""]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in suffixes.rewrite(frame).collect()}
+    data = [(t or "").encode() for t in texts]
+    counts = collections.Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    for k, d in enumerate(data):
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - 199):
+            if counts[d[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        runs = [bytes(b for b, _ in g) for cut, g in itertools.groupby(zip(d, gone, strict=True), key=lambda x: x[1]) if not cut]
+        kept = "".join(r.decode(errors="ignore") for r in runs)
+        assert got[k] == ((kept, len(kept)) if texts[k] is not None else (None, None))
+    assert got[0][0] != texts[0]
+
+
 # ---- language model ----
 
 
