@@ -144,7 +144,7 @@ def _license_sql() -> str:
       SELECT doc_id, unnest(list_distinct(list_concat(list_concat(regexp_split_to_array(p, '[\n\x01]'), string_split(replace(p, chr(1), ' '), chr(10))), [translate(p, chr(10) || chr(1), '  ')]))) AS unit FROM plain),
     words AS (SELECT doc_id, list_filter(string_split(unit, ' '), lambda x: x <> '') AS w FROM units),
     grams AS (
-      SELECT doc_id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) BETWEEN 2 AND 100000),
+      SELECT doc_id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2),
     scored AS (
       SELECT doc_id, license, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice
       FROM grams, known WHERE 2 * least(len(g), len(tg)) >= 0.8 * (len(g) + len(tg)))
