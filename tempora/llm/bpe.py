@@ -320,6 +320,11 @@ def _encoder(token: str, ranks: dict[bytes, int], pattern: str) -> tuple[Encoder
     return _held[token]
 
 
+def vocabulary_key(ranks: dict[bytes, int], pattern: str, added: dict[str, int] | None = None) -> str:
+    """A digest of the whole vocabulary, by which a worker keeps what it has built from it."""
+    return hashlib.sha256(repr((pattern, sorted(ranks.items()), sorted((added or {}).items()))).encode()).hexdigest()
+
+
 def read_rank_file(spark: SparkSession, path: str) -> dict[bytes, int]:
     """A vocabulary file is read on the driver; it has a fixed size."""
     with open(path) as file:
@@ -331,11 +336,19 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, id_colum
     spark = documents.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((ranks, pattern))  # one vocabulary
-    key = hashlib.sha256(repr((len(ranks), pattern, sorted(ranks.items())[:: max(1, len(ranks) // 1000)])).encode()).hexdigest()
+    key = vocabulary_key(ranks, pattern)
     kind = dict(documents.dtypes)[id_column]
 
     def run(batches):
+        collects = gc.isenabled()
         gc.disable()  # the caches hold many objects and make no garbage in cycles
+        try:
+            yield from encoded(batches)
+        finally:
+            if collects:
+                gc.enable()
+
+    def encoded(batches):
         encoder, tokens = _encoder(key, *shared.value)
         for batch in batches:
             counts, all_ids, digests, decoded = [], [], [], []
