@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.llm.bpe import vocabulary_key
 from tempora.llm.common import lean, materialize, small_batches
 
 SEQUENCE = 2048
@@ -46,9 +47,9 @@ def _number(ranks: dict[bytes, int], added: dict[str, int], end_id: int) -> str:
     return "<u2" if max(*ranks.values(), *added.values(), end_id) < 1 << 16 else "<u4"
 
 
-def _encoding(ranks: dict[bytes, int], pattern: str, added: dict[str, int]):
-    key = (len(ranks), pattern, next(iter(ranks)), *added.items())
+def _encoding(key: str, ranks: dict[bytes, int], pattern: str, added: dict[str, int]):
     if key not in _held:
+        _held.clear()
         _held[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
     return _held[key]
 
@@ -57,7 +58,7 @@ def tokenise(documents: DataFrame, ranks: dict[bytes, int], pattern: str, end_id
     """(part, local_start, doc_id, n, ids) with ids as little-endian unsigned 16- or 32-bit numbers."""
     spark = documents.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((ranks, pattern, added))  # one vocabulary
+    shared = spark.sparkContext.broadcast((vocabulary_key(ranks, pattern, added), ranks, pattern, added))  # one vocabulary
     kind = dict(documents.dtypes)[id_column]
     number = _number(ranks, added, end_id)
 
