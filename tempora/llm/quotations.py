@@ -1,12 +1,14 @@
 """Quotation linking: nested quotes are parsed, linked to the messages they quote, and taken out.
 
 A line's quote level is the number of ">" before its text. A passage is a run of lines of
-one level above 0. Passages and their single lines are normalised (lower case, single spaces) and
-hashed. A message's own text, its unquoted runs and lines are hashed alike; the earliest message of
+one level above 0. Passages, their paragraphs (between blank lines) and their single lines are normalised (lower case,
+single spaces) and hashed. A message's own text, its unquoted runs, paragraphs and lines are hashed alike; the earliest message of
 each hash, in each conversation and over all, is its original. A quote links to the original in its
-own conversation if that is of an earlier turn, else to the earliest in another conversation.
+own conversation if that is of an earlier turn, else to the earliest in another conversation; the latter only as
+a whole passage or paragraph of ``FAR_WORDS`` words or more, as common short lines join nothing. Conversations have no order but their
+id: of several, the smallest id counts as the earliest.
 
-A message's parent is the original of its lowest-level quote, of the latest turn (passages before
+A message's parent is the original of its lowest-level quote, of the latest turn (passages before paragraphs before
 lines, its own conversation before others); without one the nearest earlier turn. Replies are ordered
 by (parent's turn, turn), so that a parent stands before its replies.
 
@@ -20,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.llm.common import materialize
+
 _MARK = r"^[ \t]*((?:>[ \t]?)*)"
 #: Turns of a conversation that are numbered in one task.
 _RUN = 1000
+#: Words of a passage that links conversations.
+FAR_WORDS = 5
 
 
 def _normal(text: Column) -> Column:
@@ -47,9 +53,16 @@ def parse(messages: DataFrame) -> DataFrame:
     return parsed.withColumn("passages", F.transform("__starts", run)).drop("__lines", "__starts")
 
 
-def _hashed(bodies: Column) -> Column:
-    """Distinct hashes of the non-empty normalised texts of an array."""
-    return F.array_distinct(F.transform(F.filter(F.transform(bodies, _normal), lambda t: t != ""), lambda t: F.md5(t)))
+def _units(bodies: Column, part: int) -> Column:
+    """(part, hash, words) of the non-empty normalised texts of an array."""
+    texts = F.filter(F.transform(bodies, _normal), lambda t: t != "")
+    return F.transform(texts, lambda t: F.struct(F.lit(part).alias("part"), F.md5(t).alias("hash"), F.size(F.split(t, " ")).alias("words")))
+
+
+def _parts(lines: Column) -> Column:
+    """The units of some lines: all of them, their paragraphs, and each one."""
+    whole = F.array_join(lines, "\n")
+    return F.concat(_units(F.array(whole), 0), _units(F.split(whole, r"\n[\x20\x09-\x0D]*\n", -1), 1), _units(lines, 2))
 
 
 def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -61,26 +74,31 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     own_lines = F.flatten(F.transform(own, lambda p: p["lines"]))
     clean = F.trim(F.regexp_replace(F.array_join(own_lines, "\n"), r"^\n+|\n+$", ""))
     rows = rows.withColumns({"clean_text": clean, "n_quotes": F.size(quoted), "max_level": F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)), "__quoted": quoted})
-    originals = rows.select("conv_id", "turn", F.explode(_hashed(F.concat(F.array("clean_text"), F.transform(own, lambda p: F.array_join(p["lines"], "\n")), own_lines))).alias("hash")).where("turn is not null")
-    inside = originals.groupBy("hash", "conv_id").agg(F.min("turn").alias("in_turn"))
-    anywhere = inside.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("in_turn").alias("turn"))).alias("first"))
-
-    quotes = rows.where("n_quotes > 0").select("conv_id", "turn", "key", F.posexplode("__quoted").alias("at", "quote"))
-    whole = F.transform(_hashed(F.array(F.array_join("quote.lines", "\n"))), lambda h: F.struct(F.lit(0).alias("part"), h.alias("hash")))
-    single = F.transform(_hashed(F.col("quote.lines")), lambda h: F.struct(F.lit(1).alias("part"), h.alias("hash")))
-    quotes = quotes.select("conv_id", "turn", "key", "at", F.col("quote.level").alias("level"), F.explode(F.concat(whole, single)).alias("unit")).select("*", "unit.part", "unit.hash").drop("unit").distinct()
+    hashes = F.concat(_units(F.array("clean_text"), 0), F.flatten(F.transform(own, lambda p: _parts(p["lines"]))))
+    rows = rows.withColumn("__own", F.array_distinct(F.transform(hashes, lambda u: u["hash"]))).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows.drop("passages", "text"))  # parsed once
+    originals = rows.select("conv_id", "turn", F.explode("__own").alias("hash")).where("turn is not null")
+    inside = materialize(originals.groupBy("hash", "conv_id").agg(F.min("turn").alias("in_turn")))
+    # the two first conversations of a hash: one of them is another than the quote's own
+    pair = F.struct("conv_id", F.col("in_turn").alias("turn"))
+    first = inside.groupBy("hash").agg(F.min(pair).alias("first"))
+    second = inside.join(first, "hash").where(~F.col("conv_id").eqNullSafe(F.col("first.conv_id"))).groupBy("hash").agg(F.min(pair).alias("second"))
+    anywhere = first.join(second, "hash", "left")
+
+    quotes = rows.where("n_quotes > 0").select("conv_id", "turn", "__row", F.posexplode("__quoted").alias("at", "quote"))
+    quotes = quotes.select("conv_id", "turn", "__row", "at", F.col("quote.level").alias("level"), F.explode(F.array_distinct(_parts(F.col("quote.lines")))).alias("unit")).select("*", "unit.part", "unit.hash", "unit.words").drop("unit")
     here = inside.select(F.col("hash").alias("h1"), F.col("conv_id").alias("c1"), "in_turn")
     quotes = quotes.join(here, (F.col("hash") == F.col("h1")) & F.col("conv_id").eqNullSafe(F.col("c1")), "left")
-    quotes = quotes.join(anywhere.select(F.col("hash").alias("h2"), "first"), F.col("hash") == F.col("h2"), "left")
-    near = F.col("in_turn").isNotNull() & (F.col("in_turn") < F.col("turn"))
-    far = F.col("first").isNotNull() & ~F.col("first.conv_id").eqNullSafe(F.col("conv_id"))
+    quotes = quotes.join(anywhere.select(F.col("hash").alias("h2"), "first", "second"), F.col("hash") == F.col("h2"), "left")
+    near = F.coalesce(F.col("in_turn") < F.col("turn"), F.lit(False))
+    other = F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))
+    far = other.isNotNull() & (F.col("part") < 2) & (F.col("words") >= FAR_WORDS)
     quotes = quotes.where(near | far)
-    target = F.when(near, F.struct(F.col("conv_id").alias("c"), F.col("in_turn").alias("t"))).otherwise(F.struct(F.col("first.conv_id").alias("c"), F.col("first.turn").alias("t")))
-    rank = F.struct(F.when(near, 0).otherwise(1).alias("far"), "level", "part", (-target["t"]).alias("late"), target.alias("target"))
-    linked = quotes.groupBy("conv_id", "turn", "key").agg(F.min(rank).alias("best"), F.countDistinct("at").alias("n_linked"))
-    linked = linked.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.col("key").alias("k2"), F.col("best.target").alias("target"), "n_linked")
-    same = F.col("conv_id").eqNullSafe(F.col("c2")) & F.col("turn").eqNullSafe(F.col("t2")) & (F.col("key") == F.col("k2"))
-    rows = rows.drop("passages", "__quoted", "text").join(linked, same, "left").drop("c2", "t2", "k2")
+    target = F.when(near, F.struct("conv_id", F.col("in_turn").alias("turn"))).otherwise(other)
+    rank = F.struct(F.when(near, 0).otherwise(1).alias("far"), "level", "part", (-target["turn"]).alias("late"), target.alias("target"))
+    linked = quotes.groupBy("__row").agg(F.min(rank).alias("best"), F.countDistinct("at").alias("n_linked"))
+    linked = linked.select("__row", F.struct(F.col("best.target.conv_id").alias("c"), F.col("best.target.turn").alias("t")).alias("target"), "n_linked")
+    rows = rows.drop("__quoted", "__own").join(linked, "__row", "left")
 
     # the nearest earlier turn: within runs of turns, and over runs by their largest turn
     run = F.floor(F.coalesce("turn", F.lit(-1)) / _RUN)
@@ -99,11 +117,17 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     rows = rows.withColumn("parent_conv_id", F.when(F.col("target").isNotNull(), F.col("target.c")).when(previous.isNotNull(), F.col("conv_id")))
     rows = rows.withColumn("__parent", F.when(F.col("target").isNotNull() & F.col("target.c").eqNullSafe(F.col("conv_id")), F.col("target.t")).otherwise(previous))
 
-    # positions in reply order: inside runs of parents, shifted by the sizes of the runs before
-    rows = rows.withColumn("__run", F.floor(F.coalesce("__parent", F.lit(-1)) / _RUN))
-    order = Window.partitionBy("conv_id", "__run").orderBy(F.col("__parent").asc_nulls_first(), F.col("turn").asc_nulls_first(), "key", "role")
-    sizes = rows.groupBy("conv_id", "__run").agg(F.count(F.lit(1)).alias("n"))
-    shift = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col("conv_id").alias("c5"), F.col("__run").alias("r5"), shift.alias("shift"))
-    rows = rows.withColumn("__place", F.row_number().over(order)).join(sizes, F.col("conv_id").eqNullSafe(F.col("c5")) & (F.col("__run") == F.col("r5")), "left")
-    return rows.select("conv_id", "turn", "role", "clean_text", F.col("n_quotes").cast("long").alias("n_quotes"), F.col("max_level").cast("long").alias("max_level"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "parent_conv_id", "parent_turn", (F.col("__place") + F.col("shift")).cast("long").alias("position"))
+    order = [F.col("__parent").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("key"), F.col("role"), F.col("__row")]
+    rows = _numbered(rows, "conv_id", order)
+    return rows.select("conv_id", "turn", "role", "clean_text", F.col("n_quotes").cast("long").alias("n_quotes"), F.col("max_level").cast("long").alias("max_level"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "parent_conv_id", "parent_turn", "position")
+
+
+def _numbered(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Add ``position``, counted from 1 in each group. Rows are dealt by ranges of (group, order), so that a large group is spread; the ranges' sizes shift their rows."""
+    dealt = rows.repartitionByRange(F.col(group).asc_nulls_first(), *order).withColumn("__range", F.spark_partition_id())
+    dealt = materialize(dealt)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("n")).select(F.col(group).alias("__g"), F.col("__range").alias("__r"), before.alias("__shift"))
+    place = F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order))
+    joined = dealt.withColumn("__place", place).join(sizes, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")))
+    return joined.withColumn("position", (F.col("__place") + F.col("__shift")).cast("long"))

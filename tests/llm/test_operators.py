@@ -413,23 +413,92 @@ def test_license_scan(spark, empty):
 
 
 def test_quotations(spark):
+    far = "the answer of five words or more"
     rows = [
         (1, 0, "a", "Hello there\nsecond line"),
-        (1, 1, "b", "> Hello there\n> second line\n\nMy answer"),
-        (1, 2, "a", ">> hello   THERE\n>> second line\n> My answer\nI see"),
+        (1, 1, "b", f"> Hello there\n> second line\n\n{far}"),
+        (1, 2, "a", f">> hello   THERE\n>> second line\n> {far}\nI see"),
         (1, 3, "b", "> Hello there\nlate reply"),
-        (2, 0, "a", "> My answer\nfrom elsewhere"),
+        (2, 0, "a", f"> {far}\nfrom elsewhere"),
         (2, 1, "b", None),
         (2, 2, "a", "> never said\nhm"),
         (None, 0, "a", "x"),
         (3, None, "a", "> x"),
+        (4, 0, "a", "> Hello there\nno link by a short line of others"),
+        (1, 4, "a", f"> {far}"),
     ]
     found = {(r.conv_id, r.turn): r for r in quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert len(found) == len(rows)
-    assert found[1, 1].parent_turn == 0 and found[1, 1].clean_text == "My answer" and found[1, 1].n_linked == 1
+    assert found[1, 1].parent_turn == 0 and found[1, 1].clean_text == far and found[1, 1].n_linked == 1
     assert found[1, 2].parent_turn == 1 and found[1, 2].max_level == 2 and found[1, 2].n_linked == 2 and found[1, 2].clean_text == "I see"
-    assert found[1, 3].parent_turn == 0
-    assert [found[1, t].position for t in (0, 1, 3, 2)] == [1, 2, 3, 4]
+    assert found[1, 3].parent_turn == 0 and found[1, 4].parent_turn == 1
+    assert [found[1, t].position for t in (0, 1, 3, 2, 4)] == [1, 2, 3, 4, 5]
     assert (found[2, 0].parent_conv_id, found[2, 0].parent_turn) == (1, 1)
+    assert found[4, 0].parent_turn is None and found[4, 0].n_linked == 0
     assert found[2, 1].clean_text == "" and found[2, 1].parent_turn == 0 and found[2, 2].n_linked == 0 and found[2, 2].parent_turn == 1
     assert quotations.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def _quotation_links(rows):
+    """A plain version of quotations.link for (conv, turn, text): (n_quotes, max_level, n_linked, parent conversation, parent turn, position)."""
+    normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t.lower()).strip(" ")
+
+    def runs(text):
+        lines = []
+        for line in (text or "").split("\n"):
+            mark = re.match(r"[ \t]*((?:>[ \t]?)*)", line)
+            lines.append((mark[1].count(">"), line[mark.end() :]))
+        return [(level, [x for _, x in g]) for level, g in itertools.groupby(lines, key=lambda x: x[0])]
+
+    def units(lines):
+        whole = "\n".join(lines)
+        return [(p, normal(t)) for p, ts in enumerate(([whole], re.split(r"\n[\x20\x09-\x0D]*\n", whole), lines)) for t in ts if normal(t)]
+
+    own = collections.defaultdict(dict)
+    for conv, turn, text in rows:
+        parts = [lines for level, lines in runs(text) if not level]
+        texts = {normal("\n".join(x for p in parts for x in p))} | {t for p in parts for _, t in units(p)}
+        for t in texts - {""} if turn is not None else ():
+            own[t][conv] = min(turn, own[t].get(conv, turn))
+    out = []
+    for conv, turn, text in rows:
+        quotes = [(level, lines) for level, lines in runs(text) if level]
+        options, linked = [], set()
+        for at, (level, lines) in enumerate(quotes):
+            for part, t in units(lines):
+                here = own.get(t, {}).get(conv)
+                others = sorted((-1 if c is None else c, n) for c, n in own.get(t, {}).items() if c != conv)
+                if here is not None and turn is not None and here < turn:
+                    options.append((0, level, part, -here, conv, here))
+                elif others and part < 2 and len(t.split(" ")) >= quotations.FAR_WORDS:
+                    options.append((1, level, part, -others[0][1], others[0][0], others[0][1]))
+                else:
+                    continue
+                linked.add(at)
+        before = [n for c, n, _ in rows if c == conv and n is not None and turn is not None and n < turn]
+        previous = max(before, default=None)
+        target = min(options)[4:] if options else (conv, previous) if before else (None, None)
+        inside = target[1] if target[0] == conv and options else previous
+        out.append([conv, turn, len(quotes), max((level for level, _ in runs(text)), default=0), len(linked), *target, inside])
+    return out
+
+
+def test_quotations_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    phrases = ["yes", "I think that this is a longer sentence", "one two three four five six", "no way", "and so it goes on and on", "ok then"]
+    rows = []
+    for conv in [0, 1, 2, 3, None]:
+        for turn in [*range(9), 4]:
+            lines = ["> " * int(rng.integers(0, 3)) + phrases[int(rng.integers(len(phrases)))] if rng.random() < 0.85 else ">" * int(rng.integers(0, 2)) for _ in range(int(rng.integers(1, 7)))]
+            rows.append((conv, turn if rng.random() < 0.95 else None, "\n".join(lines)))
+    rows += [(7, 1, "> " + "very long " * 20_000 + "\nme"), (7, 0, "very long " * 20_000), (7, 2, "")]
+    frame = spark.createDataFrame([(c, t, "user", x, "k", 1) for c, t, x in rows], "conv_id long, turn long, role string, text string, key string, target int")
+    found = quotations.link(frame).collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = sorted((key(r[:7]) for r in _quotation_links(rows)))
+    assert sorted(key((r.conv_id, r.turn, r.n_quotes, r.max_level, r.n_linked, r.parent_conv_id, r.parent_turn)) for r in found) == want
+    for conv in {c for c, _, _ in rows}:
+        mine = [r for r in found if r.conv_id == conv]
+        assert sorted(r.position for r in mine) == list(range(1, len(mine) + 1))
+        expected = [t for _, t in sorted((key((r[7], r[1])), r[1]) for r in _quotation_links(rows) if r[0] == conv)]
+        assert [r.turn for r in sorted(mine, key=lambda r: r.position)] == expected
