@@ -2,15 +2,16 @@
 
 P(grade <= g) = 1 / (1 + exp(w.x - t_g)): one weight per word is shared by all thresholds t, which
 ascend. Features are log(1 + count) of markers: words, runs of letters in lower case, and word
-beginnings of 5 and 7 letters, as offensive stems take endings. They become markers by a chi-squared test between toxic and other labelled documents.
-A toxic document's grade is 1, or 2 where it holds at least as many strong
-markers as the median toxic document and more than the fewest. Expected severity is the sum over grades of P(grade >= g).
+beginnings of 5 and 7 letters, as offensive stems take endings. All that are in ``min_documents`` labelled documents or more and
+reach ``min_chi2`` in a chi-squared test between documents of grade 0 and others become markers.
+Grades are the whole numbers of the label column, from 0; each grade above 0 that occurs has a threshold, so that a column of
+0 and 1 gives one. Expected severity is the sum over grades of P(grade >= g).
 
 The model is fitted on at most ``sample_rows`` labelled documents (those of the smallest hashed
 ids); every document is scored on its whole text.
 
-Null ids or labels are not learnt from; an id with several labels counts as toxic if one says so.
-Null and empty texts have no words. Without toxic and other labels there is no model and all severities are 0.
+Null ids or labels are not learnt from; an id with several labels counts by the highest, negative labels as 0, and an id with several texts is learnt from
+by its smallest one. Null and empty texts have no words. Without documents of grade 0 and of others there is no model and all severities are 0.
 Rows are scored one by one; other columns than those named are left out; an empty table gives an
 empty result.
 """
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from tempora.llm.common import lean, materialize, small_batches
 
 SAMPLE_ROWS = 10_000
-MAX_MARKERS = 2_000
 MIN_CHI2 = 15.0
 MIN_DOCUMENTS = 5
 STEMS = (5, 7)
@@ -55,6 +55,8 @@ class Model:
     words: list[str]
     weights: np.ndarray
     thresholds: np.ndarray
+    #: The label of each grade, in order.
+    levels: tuple[int, ...] = (0, 1)
 
     def __post_init__(self):
         self.at = dict(zip(self.words, self.weights.tolist(), strict=True))
@@ -120,7 +122,7 @@ def _word_lists(batches):
 
 
 def _marked(at: dict[str, int]):
-    """(row, toxic, markers, counts): the chosen features of each document."""
+    """(row, grade, markers, counts): the chosen features of each document."""
     heads = {w.lstrip("^")[: STEMS[0]] for w in at}
 
     def run(batches):
@@ -130,52 +132,49 @@ def _marked(at: dict[str, int]):
                 own = features((text or b"").decode(errors="replace"), heads)
                 found.append(sorted((at[f], n) for f, n in own.items() if f in at))
             columns = [pa.array([[m for m, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "toxic", "markers", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "grade", "markers", "counts"])
 
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """The model of the labelled documents; None if they are not of both kinds."""
+def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, min_documents: int = MIN_DOCUMENTS, min_chi2: float = MIN_CHI2) -> Model | None:
+    """The model of the labelled documents; None if they are not of both kinds. Its markers are features of the labelled sample, which bounds them."""
     small_batches(documents.sparkSession)
     known = labels.select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("toxic")).dropna()
-    known = known.groupBy("__id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = known.groupBy("__id").agg(F.greatest(F.max("toxic"), F.lit(0)).alias("grade"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     sample = documents.select(F.col(id_column).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id")  # at most sample_rows rows
-    sample = materialize(sample.groupBy("__id", "toxic").agg(F.min("text").alias("text")).select(F.xxhash64("__id").alias("row"), "toxic", "text"))
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    sample = materialize(sample.groupBy("__id", "grade").agg(F.min("text").alias("text")).select(F.xxhash64("__id").alias("row"), "grade", "text"))
+    sizes = {r.grade: r.n for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # the grades of at most sample_rows rows
+    good = sizes.pop(0, 0)
+    bad = sum(sizes.values())
     if not bad or not good:
         return None
-    words = sample.mapInArrow(lean(_word_lists), "row long, toxic int, word string, n long")
-    seen = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= MIN_DOCUMENTS)
+    sample = sample.withColumn("toxic", (F.col("grade") > 0).cast("int"))
+    words = sample.select("row", "toxic", "text").mapInArrow(lean(_word_lists), "row long, toxic int, word string, n long")
+    seen = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= min_documents)
     n = float(bad + good)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = n * F.pow(a * (good - b) - b * (bad - a), 2) / (bad * good * (a + b) * (n - a - b) + 1e-9)
-    odds = F.log((a + 0.5) / (bad - a + 0.5)) - F.log((b + 0.5) / (good - b + 0.5))
-    markers = seen.select("word", chi2.alias("chi2"), odds.alias("odds")).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").limit(MAX_MARKERS)
-    markers = markers.collect()
+    markers = seen.select("word", chi2.alias("chi2")).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "word").collect()  # of the sample's features
     if not markers:
         return None
     at = {r.word: i for i, r in enumerate(markers)}
-    strong = np.array([r.odds > 2 for r in markers])
-    marked = sample.mapInArrow(lean(_marked(at)), "row long, toxic int, markers array<int>, counts array<long>").collect()  # at most sample_rows rows
+    marked = sample.select("row", "grade", "text").mapInArrow(lean(_marked(at)), "row long, grade int, markers array<int>, counts array<long>").collect()  # at most sample_rows rows
     marked = sorted(marked, key=lambda r: r.row)
     entries = [(i, m, c) for i, r in enumerate(marked) for m, c in zip(r.markers, r.counts, strict=True)]
     rows, columns, counts = (np.array(x) for x in zip(*entries, strict=True))
-    grades = np.array([r.toxic for r in marked])
-    heavy = np.bincount(rows, counts * strong[columns], len(grades))
-    toxic = heavy[grades == 1]
-    grades = grades + ((grades == 1) & (heavy >= np.median(toxic)) & (heavy > toxic.min()))
+    levels = (0, *sorted(sizes))
+    grades = np.searchsorted(levels, [r.grade for r in marked])
     weights, thresholds = fit_ordinal(rows, columns, np.log1p(counts), grades, len(at))
-    return Model(list(at), weights, thresholds)
+    return Model(list(at), weights, thresholds, levels)
 
 
 def score(documents: DataFrame, model: Model | None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic (P(grade >= 1)), grade (the likeliest) and toxic (p_toxic >= 0.5)."""
+    """doc_id, severity (expected grade), p_toxic (P of any grade above 0), grade (the likeliest) and toxic (p_toxic >= 0.5)."""
     small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)[id_column]
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_MARKERS words
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample
 
     def run(batches):
         model = shared.value
@@ -185,8 +184,9 @@ def score(documents: DataFrame, model: Model | None, id_column: str = "doc_id",
             totals = [model.total((text.as_py() or b"").decode(errors="replace")) if model else 0.0 for text in texts]
             over = _sigmoid(np.array(totals, float)[:, None] - thresholds[None, :]) if model else np.zeros((len(totals), 1))
             steps = np.concatenate([np.ones((len(over), 1)), over, np.zeros((len(over), 1))], axis=1)
-            grade = np.argmax(steps[:, :-1] - steps[:, 1:], axis=1)
-            columns = [batch.column(0), pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(grade, pa.int32()), pa.array(over[:, 0] >= 0.5)]
+            levels = np.array(model.levels if model else (0, 1))
+            grade = levels[np.argmax(steps[:, :-1] - steps[:, 1:], axis=1)]
+            columns = [batch.column(0), pa.array(over @ np.diff(levels)), pa.array(over[:, 0]), pa.array(grade, pa.int32()), pa.array(over[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
     return documents.select(F.col(id_column), F.col(text)).mapInArrow(lean(run), f"doc_id {kind}, severity double, p_toxic double, grade int, toxic boolean")

@@ -390,6 +390,45 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def _plain_toxicity(texts, labels):
+    """Markers, weights and thresholds by a plain count over the labelled texts."""
+    own = [(collections.Counter(toxicity.features(texts[i])), g) for i, g in labels.items()]
+    bad, good = sum(g > 0 for _, g in own), sum(g == 0 for _, g in own)
+    a, b = (collections.Counter(w for f, g in own if (g > 0) == kind for w in f) for kind in (True, False))
+    chi2 = {w: (bad + good) * (a[w] * (good - b[w]) - b[w] * (bad - a[w])) ** 2 / (bad * good * (a[w] + b[w]) * (bad + good - a[w] - b[w]) + 1e-9) for w in {*a, *b} if a[w] + b[w] >= toxicity.MIN_DOCUMENTS}
+    return {w for w, x in chi2.items() if x >= toxicity.MIN_CHI2}
+
+
+def test_toxicity_grades_by_brute_force(spark):
+    """Three grades of a label column, clashing names, repeated rows, long and empty texts; markers and severities as counted plainly."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    grades = {i: int(rng.choice([0, 0, 0, 1, 3])) for i in range(400)}
+
+    def text(i):
+        words = list(rng.choice(vocabulary, 30))
+        for k in range(grades.get(i, 0)):
+            words[k * 5] = "hatefulness"
+        return " ".join(words)
+
+    texts = {i: text(i) for i in range(450)} | {450: "", 451: "plainaa " * 50_000 + "hatefulness " * 3000}
+    rows = [(i, t, 1, "k", 0, 2) for i, t in texts.items()] + [(0, texts[0], 1, "k", 0, 2), (None, None, 1, "k", 0, 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, count int, key string, grade int, toxic int")
+    labels = spark.createDataFrame([(i, g, 1) for i, g in grades.items()] + [(0, grades[0], 1)], "doc_id long, toxic int, row int")
+    model = toxicity.fit(frame, labels)
+    assert set(model.words) == _plain_toxicity(texts, grades) and model.levels == (0, 1, 3) and len(model.thresholds) == 2
+    found = [r for r in toxicity.score(frame, model).collect()]
+    assert len(found) == len(rows)
+    for r in found:
+        total = sum(w * math.log1p(n) for f, n in toxicity.features(texts.get(r.doc_id) or "").items() for w in [model.at.get(f, 0.0)])
+        over = [1 / (1 + math.exp(min(40, t - total))) for t in model.thresholds]
+        assert r.severity == pytest.approx(over[0] + 2 * over[1], abs=1e-6) and r.toxic == (over[0] >= 0.5)
+    by_grade = {g: np.mean([r.severity for r in found if grades.get(r.doc_id) == g]) for g in (0, 1, 3)}
+    assert by_grade[0] < by_grade[1] < by_grade[3]
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(frame, none) is None and toxicity.filter_toxic(frame, None).count() == len(rows)
+
+
 def test_ordinal_thresholds():
     rng = np.random.default_rng(7)
     x = rng.normal(size=3000)
