@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.functions.buckets import micros
+from tempora.functions.buckets import micros, parse_width
 
 
 def no_nan(value: Column) -> Column:
@@ -35,14 +35,40 @@ def last(value: Column, ts: Column) -> Column:
     return F.max_by(value, ts)
 
 
-def samples(value: Column, ts: Column) -> Column:
-    """The group's (t, v) by time, one for each time: the largest of repeated ones; nulls left out.
+def samples(value: Column, ts: Column, order: Column | None = None) -> Column:
+    """The group's (t, v) by time, one for each time; nulls left out. Of repeated times the last by ``order`` counts, else the largest value, as rows have no order.
 
     A group is one series in one bucket; its samples are sorted in place of a window over the series.
     """
-    rows = F.array_sort(F.collect_list(F.when(value.isNotNull() & ts.isNotNull(), F.struct(micros(ts).alias("t"), value.cast("double").alias("v")))))
-    n = F.size(rows)
-    return F.filter(rows, lambda x, i: F.when(i < n - 1, F.get(rows, i + 1)["t"] != x["t"]).otherwise(True))
+    parts = [micros(ts).alias("t"), *([order.alias("o")] if order is not None else []), value.cast("double").alias("v")]
+    rows = F.array_sort(F.collect_list(F.when(value.isNotNull() & ts.isNotNull(), F.struct(*parts))))
+
+    def last_of_each(rows):
+        n = F.size(rows)
+        kept = F.filter(rows, lambda x, i: F.when(i < n - 1, F.get(rows, i + 1)["t"] != x["t"]).otherwise(True))
+        return F.transform(kept, lambda x: F.struct(x["t"].alias("t"), x["v"].alias("v")))
+
+    return F.transform(F.array(rows), last_of_each)[0]
+
+
+def counter_rates(rows: DataFrame, keys: list[str], value: str, ts: str, order: str | None = None, chunk: str = "1d") -> DataFrame:
+    """(keys, rate, irate) of counters; a drop is a reset. Samples are put in order by chunks of time, whose sums are joined, so that a long series is many tasks' work."""
+    width = parse_width(chunk)
+    at = F.floor(micros(F.col(ts)) / (width.micros or width.days * 86400 * 10**6))
+    own = rows.groupBy(*keys, at.alias("__chunk")).agg(samples(F.col(value), F.col(ts), F.col(order) if order else None).alias("s")).where(F.size("s") > 0)
+    s = F.col("s")
+    parts = F.struct(F.element_at(s, 1)["t"].alias("t"), F.element_at(s, 1)["v"].alias("first"), F.element_at(s, -1)["v"].alias("last"), increase_of(s).alias("rise"), F.slice(s, -F.least(F.size(s), F.lit(2)), 2).alias("tail"))
+    own = own.groupBy(*keys).agg(F.array_sort(F.collect_list(parts)).alias("p"))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(state, x):
+        between = F.when(state["last"].isNull(), 0.0).when(x["first"] < state["last"], x["first"]).otherwise(x["first"] - state["last"])
+        return F.struct(x["last"].alias("last"), (state["sum"] + between + x["rise"]).alias("sum"))
+
+    tails = F.flatten(F.transform(F.slice("p", -F.least(F.size("p"), F.lit(2)), 2), lambda x: x["tail"]))
+    own = own.withColumns({"__rise": F.aggregate("p", start, step, lambda x: x["sum"]), "__tail": tails})
+    span = (F.element_at("__tail", -1)["t"] - F.get("p", 0)["t"]) / 1e6
+    return own.select(*keys, F.when(span > 0, F.col("__rise") / span).alias("rate"), irate_of(F.col("__tail")).alias("irate"))
 
 
 def increase_of(rows: Column) -> Column:
@@ -64,7 +90,7 @@ def rate_of(rows: Column) -> Column:
 
 def irate_of(rows: Column) -> Column:
     """Rate of the last two samples; after a reset the last value counts."""
-    b, a = F.element_at(rows, -1), F.element_at(rows, -2)
+    b, a = F.try_element_at(rows, F.lit(-1)), F.try_element_at(rows, F.lit(-2))
     grown = F.when(b["v"] < a["v"], b["v"]).otherwise(b["v"] - a["v"])
     return F.when(F.size(rows) >= 2, grown / ((b["t"] - a["t"]) / 1e6))
 

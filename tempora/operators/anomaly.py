@@ -8,15 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tempora.functions import kernels
 from tempora.functions.windows import scale_floor, sigmoid
+from tempora.operators import series
+from tempora.operators.walks import walk
 
 METHODS = ("zscore", "modified_zscore", "iqr", "moving_average", "dynamic_threshold", "forecast_residual", "cusum")
 
 
 def with_statistics(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """Rows with aggregates of their series, null keys equal."""
-    stats = rows.groupBy(*keys).agg(*(a.alias(n) for n, a in aggregates.items()))
+    return _joined(rows, rows.groupBy(*keys).agg(*(a.alias(n) for n, a in aggregates.items())), keys)
+
+
+def _joined(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         return rows.join(F.broadcast(stats))  # one row
     renamed = stats.withColumnsRenamed({k: f"__key_{k}" for k in keys})
@@ -72,8 +79,8 @@ def moving_average(rows: DataFrame, keys: list[str], value: str, order: list[str
     over = _ordered(keys, order)
     full = F.row_number().over(over) > window
     residual = F.when(full, F.col(value) - F.avg(value).over(over.rowsBetween(-window, -1)))
-    rows = rows.withColumn("__res", residual)
-    rows = with_statistics(rows, keys, __std=F.stddev_samp("__res"), __mean=F.avg("__res"))
+    whole = Window.partitionBy(*keys)  # dealt as the rows already are
+    rows = rows.withColumn("__res", residual).withColumns({"__std": F.stddev_samp("__res").over(whole), "__mean": F.avg("__res").over(whole)})
     raw = F.coalesce(F.abs(F.col("__res") - F.col("__mean")) / scale_floor(F.col("__std"), F.col("__mean")), F.lit(0.0))
     return _scored(rows, F.when(F.col("__res").isNotNull(), sigmoid(raw - threshold)).otherwise(0.0), raw > threshold, threshold)
 
@@ -88,7 +95,8 @@ def dynamic_threshold(rows: DataFrame, keys: list[str], value: str, order: list[
     else:
         frame = over.rowsBetween(-lookback, -1)
         rows = rows.withColumns({"__m": F.avg(v).over(frame), "__s": F.stddev_pop(v).over(frame)})
-        rows = with_statistics(rows, keys, __base=F.avg(v), __base_std=F.stddev_pop(v))
+        whole = Window.partitionBy(*keys)
+        rows = rows.withColumns({"__base": F.avg(v).over(whole), "__base_std": F.stddev_pop(v).over(whole)})
         full = F.col("__at") >= lookback
         rows = rows.withColumns({"__mean": F.when(full, F.col("__m")).otherwise(F.col("__base")), "__std": F.when(full, F.col("__s")).otherwise(F.col("__base_std"))})
     dev = F.abs(v - F.col("__mean"))
@@ -96,46 +104,47 @@ def dynamic_threshold(rows: DataFrame, keys: list[str], value: str, order: list[
     return _scored(rows, sigmoid(raw - k), raw > k, k)
 
 
-def forecast_residual(rows: DataFrame, keys: list[str], value: str, order: list[str], threshold: float = 3.0, alpha: float = 0.3) -> DataFrame:
-    """Residuals of walking one-step forecasts by exponential smoothing."""
-    walked = _folded(rows, keys, value, order, F.struct(F.lit(None).cast("double").alias("level")), lambda s, v: F.struct(F.coalesce(s["level"] + alpha * (v - s["level"]), v).alias("level")), lambda s, v: v - s["level"])
-    walked = with_statistics(walked, keys, __std=F.stddev_samp("__made"), __mean=F.avg("__made"), __n=F.count("__made")).where("__n >= 4")
+def forecast_residual(rows: DataFrame, keys: list[str], value: str, order: list[str], threshold: float = 3.0, alpha: float | None = None) -> DataFrame:
+    """Residuals of walking one-step forecasts by exponential smoothing; without ``alpha`` it is fitted to each series, whose values must fit in a task."""
+    if alpha is None:
+
+        def fit(pdf):
+            y = pdf.sort_values(order, kind="stable")[value].dropna().to_numpy(float)
+            fitted = kernels.ses(y, 1).parameters["alpha"] if len(y) > 1 else None
+            return pdf.head(1)[keys].assign(__alpha=fitted).astype({"__alpha": float})
+
+        rows = _joined(rows, series._apply(rows, keys, [*order, value], fit, [T.StructField("__alpha", T.DoubleType())]), keys)
+    else:
+        rows = rows.withColumn("__alpha", F.lit(float(alpha)))
+    rows = rows.withColumn("__x", F.col(value).cast("double"))
+
+    def step(level, v, a):
+        if v is None:
+            return level, None
+        return (v, None) if level is None else (level + a * (v - level), v - level)
+
+    walked = walk(rows, keys, order, ["__x", "__alpha"], "__made", T.DoubleType(), None, step)
+    whole = Window.partitionBy(*keys)
+    walked = walked.withColumns({"__std": F.stddev_samp("__made").over(whole), "__mean": F.avg("__made").over(whole), "__n": F.count("__made").over(whole)}).where("__n >= 4")
     raw = F.coalesce(F.abs(F.col("__made") - F.col("__mean")) / scale_floor(F.col("__std"), F.col("__mean")), F.lit(0.0))
     return _scored(walked, F.when(F.col("__made").isNotNull(), sigmoid(raw - threshold)).otherwise(0.0), raw > threshold, threshold)
 
 
 def cusum(rows: DataFrame, keys: list[str], value: str, order: list[str], h: float = 4.0, k: float = 0.5, reset: bool = True) -> DataFrame:
-    """Cumulative sums above and below the mean, in standard deviations; an alarm above h starts them anew if wanted."""
+    """Cumulative sums above and below the mean, in standard deviations; an alarm above h starts them anew if wanted. A null adds nothing."""
     rows = with_statistics(rows, keys, __mean=F.avg(value), __std=F.stddev_samp(value))
-    rows = rows.withColumns({"__h": F.greatest(h * F.col("__std"), F.lit(1e-3)), "__k": F.greatest(k * F.col("__std"), F.lit(1e-4))})
-    rows = rows.withColumn("__in", F.struct(F.col(value).cast("double").alias("v"), F.col("__mean").alias("m"), F.col("__h").alias("h"), F.col("__k").alias("k")))
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0.0).alias("raw"))
-
-    def step(s, x):
-        d = x["v"] - x["m"]
-        up, down = F.greatest(s["up"] + d - x["k"], F.lit(0.0)), F.greatest(s["down"] - d - x["k"], F.lit(0.0))
-        raw = F.greatest(up, down)
-        gone = (raw > x["h"]) & F.lit(reset)
-        return F.struct(F.when(gone, 0.0).otherwise(up).alias("up"), F.when(gone, 0.0).otherwise(down).alias("down"), raw.alias("raw"))
-
-    walked = _folded(rows, keys, "__in", order, start, step, None)
-    raw, limit = F.col("__made"), F.col("__h")
-    return _scored(walked, sigmoid(raw / limit - 1, 4.0), raw > limit, h)
-
+    rows = rows.withColumns({"__h": F.greatest(h * F.col("__std"), F.lit(1e-3)), "__k": F.greatest(k * F.col("__std"), F.lit(1e-4)), "__d": (F.col(value) - F.col("__mean")).cast("double")})
 
-def _folded(rows: DataFrame, keys: list[str], value: str, order: list[str], start: Column, step, out) -> DataFrame:
-    """Fold a recurrence over each ordered series: ``__made`` is out(state before, value), or the state's ``raw`` after it."""
-    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.col(value).alias("x"), F.struct(*rows.columns).alias("row")))).alias("s"))
-    made = F.array().cast("array<double>")
+    def step(state, d, limit, slack):
+        up, down = state
+        if d is not None:
+            up, down = max(up + d - slack, 0.0), max(down - d - slack, 0.0)
+        raw = max(up, down)
+        return ((0.0, 0.0) if reset and raw > limit else (up, down)), raw
 
-    def fold(acc, e):
-        after = step(acc["state"], e["x"])
-        value_out = out(acc["state"], e["x"]) if out else after["raw"]
-        return F.struct(after.alias("state"), F.concat(acc["made"], F.array(value_out.cast("double"))).alias("made"))
-
-    folded = series.withColumn("__all", F.aggregate("s", F.struct(start.alias("state"), made.alias("made")), fold, lambda a: a["made"]))
-    each = folded.select(F.explode(F.arrays_zip(F.col("s"), F.col("__all"))).alias("e"))
-    return each.select("e.s.row.*", F.col("e.__all").alias("__made"))
+    walked = walk(rows, keys, order, ["__d", "__h", "__k"], "__made", T.DoubleType(), (0.0, 0.0), step)
+    raw, limit = F.col("__made"), F.col("__h")
+    return _scored(walked, sigmoid(raw / limit - 1, 4.0), raw > limit, h)
 
 
 def detect(rows: DataFrame, method: str, keys: list[str], value: str, order: list[str], **options) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempora.functions.buckets import time_bucket
+from tempora.operators.walks import walk
+from tempora.streaming.triggers import cooling
 
 
 def arithmetic(operator: str, a: Column, b: Column) -> Column:
@@ -33,14 +36,13 @@ def align(rows: DataFrame, key: str, names: list[str], time: str, value: str, wi
 def composite(rows: DataFrame, time: str, rules: dict[str, str], need: int, cooldown_us: int = 0) -> DataFrame:
     """Rows on which at least ``need`` of the rules (SQL conditions) hold: time, the rules' names, severity.
 
-    Within the cooldown of an earlier such row a row is dropped, by runs: a gap of at least the cooldown opens a new run.
+    Within the cooldown of the last row let through a row is dropped. The hits of all series form one order, which one task walks in bounded memory.
     """
     hits = F.array_compact(F.array(*(F.when(F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in rules.items())))
     found = rows.select(time, hits.alias("rules")).where(F.size("rules") >= need)
     if cooldown_us:
-        at = F.unix_micros(F.col(time).cast("timestamp"))
-        before = F.lag(at).over(Window.orderBy(time))
-        found = found.withColumn("__gap", at - before).where(F.col("__gap").isNull() | (F.col("__gap") >= cooldown_us)).drop("__gap")
+        found = found.withColumn("__at", F.unix_micros(F.col(time).cast("timestamp")))
+        found = walk(found, [], ["__at"], ["__at"], "__kept", T.BooleanType(), None, cooling(cooldown_us)).where("__kept").drop("__at", "__kept")
     share = F.size("rules") / len(rules)
     return found.withColumn("severity", F.when(share >= 1, "critical").when(share >= 0.5, "warning").otherwise("info"))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempora.functions.buckets import from_micros, micros
+from tempora.operators.walks import walk
 
 MAX_STEPS = 100_000
 
@@ -42,14 +44,54 @@ def interpolate(points: DataFrame, keys: list[str], time: str, value: str, inter
 
 def resample_down(points: DataFrame, keys: list[str], time: str, value: str, interval: int, how: str = "mean") -> DataFrame:
     """Aggregates over spans of the interval counted from each series' first time."""
-    first = Window.partitionBy(*keys)
+    from tempora.operators.anomaly import with_statistics
+
     t, v = micros(F.col(time)), F.col(value)
-    start = F.min(t).over(first)
-    p = points.withColumn("__b", start + F.floor((t - start) / interval) * interval)
+    p = with_statistics(points, keys, __start=F.min(t))
+    p = p.withColumn("__b", F.col("__start") + F.floor((t - F.col("__start")) / interval) * interval)
     made = {"mean": F.avg(v), "min": F.min(v), "max": F.max(v), "sum": F.sum(v), "first": F.min_by(v, time), "last": F.max_by(v, time)}[how]
     return p.groupBy(*keys, "__b").agg(made.alias(value)).select(*keys, from_micros(F.col("__b")).alias(time), value)
 
 
+def resample_up(points: DataFrame, keys: list[str], time: str, value: str, interval: int, method: str = "linear") -> DataFrame:
+    """(keys, time, value): points at every multiple of the interval from each series' first time to its last, between its own points by the method."""
+    filled = interpolate_at(points, keys, time, value, interval, method)
+    return filled.select(*keys, time, value)
+
+
+def interpolate_at(points: DataFrame, keys: list[str], time: str, value: str, interval: int, method: str) -> DataFrame:
+    """As ``interpolate``, on a grid of the interval that begins at each series' first time."""
+    over = Window.partitionBy(*keys).orderBy("__t")
+    p = points.where(F.col(value).isNotNull()).select(*keys, micros(F.col(time)).alias("__t"), F.col(value).cast("double").alias("__v"))
+    p = p.withColumns({"__t2": F.lead("__t").over(over), "__v2": F.lead("__v").over(over), "__start": F.first("__t").over(over)})
+    k = lambda t: F.ceil((t - F.col("__start")) / interval)
+    last = F.coalesce(k(F.col("__t2")) - 1, k(F.col("__t")))
+    at_point = F.col("__t2").isNull() & ((F.col("__t") - F.col("__start")) % interval != 0)
+    p = p.where(~at_point & (k(F.col("__t")) <= last)).withColumn("__k", F.explode(F.sequence(k(F.col("__t")), last)))
+    at = F.col("__start") + F.col("__k") * interval
+    u = F.coalesce((at - F.col("__t")) / (F.col("__t2") - F.col("__t")), F.lit(0.0))
+    a, b = F.col("__v"), F.coalesce("__v2", "__v")
+    made = {"linear": a + (b - a) * u, "nearest": F.when(u < 0.5, a).otherwise(b), "forward": a, "nocb": F.when(u == 0, a).otherwise(b)}
+    if method not in made:
+        raise ValueError(f"unknown interpolation {method!r}")
+    return p.select(*keys, from_micros(at).alias(time), made[method].alias(value))
+
+
+class Pipeline:
+    """Steps from DataFrame to DataFrame, applied in order: Pipeline().then(interpolate, keys=[...], ...).run(points)."""
+
+    def __init__(self, steps: tuple = ()):
+        self.steps = steps
+
+    def then(self, function, **options) -> Pipeline:
+        return Pipeline((*self.steps, (function, options)))
+
+    def run(self, points: DataFrame) -> DataFrame:
+        for function, options in self.steps:
+            points = function(points, **options)
+        return points
+
+
 def smooth_moving(value: Column, over, w: int) -> Column:
     return F.avg(value).over(over.rowsBetween(-(w - 1), 0))
 
@@ -66,11 +108,13 @@ def ewm(points: DataFrame, keys: list[str], order: list[str], value: str, alpha:
     """Exponentially weighted mean; a null row repeats the state."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
-    from tempora.operators.anomaly import _folded
 
-    start = F.struct(F.lit(None).cast("double").alias("raw"))
-    walked = _folded(points, keys, value, order, start, lambda s, v: F.struct(F.coalesce(s["raw"] + alpha * (v - s["raw"]), s["raw"], v.cast("double")).alias("raw")), None)
-    return walked.withColumnRenamed("__made", out)
+    def step(state, v):
+        state = state if v is None else v if state is None else state + alpha * (v - state)
+        return state, state
+
+    rows = points.withColumn("__x", F.col(value).cast("double"))
+    return walk(rows, keys, order, ["__x"], out, T.DoubleType(), None, step).drop("__x")
 
 
 def calendar_features(ts: Column) -> dict[str, Column]:

@@ -47,7 +47,7 @@ def line_protocol(lines: DataFrame, column: str = "value", precision: str = "ns"
             F.when(kind == "float", number.try_cast("double")).alias("double"),
             F.when(kind == "integer", number.try_cast("long")).alias("long"),
             F.when(kind.isin("unsigned", "decimal"), number.try_cast("decimal(38,10)")).alias("decimal"),
-            F.when(kind == "string", F.regexp_replace(F.substring(raw, 2, 1 << 20), r'\\(["\\])|"$', "$1")).alias("string"),
+            F.when(kind == "string", F.regexp_replace(F.substr(raw, F.lit(2)), r'\\(["\\])|"$', "$1")).alias("string"),
             F.when(kind == "boolean", F.lower(raw).startswith("t")).alias("boolean"),
         )
 

@@ -9,7 +9,9 @@ from dataclasses import dataclass, field, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tempora.operators.walks import walk
 from tempora.session import ship
 
 #: The schema of change events.
@@ -138,9 +140,9 @@ def _term(found: re.Match) -> Column:
 def condition_of(text: str) -> Column:
     """A condition of terms joined by AND and OR (AND binds tighter); a missing field is false."""
     ors = []
-    for part in re.split(r"(?i)\s+or\s+", text.strip()):
+    for part in _split(text.strip(), "or"):
         ands = None
-        for term in re.split(r"(?i)\s+and\s+", part):
+        for term in _split(part, "and"):
             found = _TERM.fullmatch(term)
             if not found:
                 raise TriggerProblem(f"not a condition: {term!r}")
@@ -153,6 +155,13 @@ def condition_of(text: str) -> Column:
     return out
 
 
+def _split(text: str, word: str) -> list[str]:
+    """The parts between a word, but not inside quotes."""
+    bare = re.sub(r"'[^']*'", lambda m: "x" * len(m[0]), text)
+    cuts = [m.span() for m in re.finditer(rf"(?i)\s+{word}\s+", bare)]
+    return [text[a:b] for a, b in zip([0, *(end for _, end in cuts)], [*(begin for begin, _ in cuts), len(text)], strict=True)]
+
+
 def severity(value: Column, low: float, high: float) -> Column:
     return F.when(value >= high, "critical").when(value >= low, "warning").otherwise("info")
 
@@ -168,16 +177,18 @@ def evaluate(events: DataFrame, trigger: Trigger) -> DataFrame:
 
 def with_cooldown(firings: DataFrame, cooldown_s: float) -> DataFrame:
     """Of a batch: a firing within [0, cooldown) of the last one let through, in data time, is dropped."""
-    rows = firings.groupBy("trigger", "series").agg(F.array_sort(F.collect_list(F.struct("seq", "event_timestamp", F.map_entries("fields").alias("fields")))).alias("s"))
-    kind = "array<struct<seq:bigint,event_timestamp:timestamp,fields:array<struct<key:string,value:double>>>>"
+    rows = firings.withColumn("__at", F.unix_micros("event_timestamp"))
+    return walk(rows, ["trigger", "series"], ["seq"], ["__at"], "__kept", T.BooleanType(), None, cooling(int(cooldown_s * 1e6))).where("__kept").drop("__at", "__kept")
+
+
+def cooling(cooldown_us: int):
+    """A walk's step over times: whether a firing is let through."""
 
-    def step(a, x):
-        last = F.try_element_at(a, F.lit(-1))["event_timestamp"]
-        gap = F.unix_micros(x["event_timestamp"]) - F.unix_micros(last)
-        return F.when(last.isNotNull() & (gap >= 0) & (gap < int(cooldown_s * 1e6)), a).otherwise(F.concat(a, F.array(x)))
+    def step(last, at):
+        kept = last is None or not 0 <= at - last < cooldown_us
+        return (at if kept else last), kept
 
-    kept = rows.withColumn("s", F.aggregate("s", F.array().cast(kind), step))
-    return kept.select("trigger", "series", F.explode("s").alias("e")).select("trigger", "series", "e.seq", "e.event_timestamp", F.map_from_entries("e.fields").alias("fields"))
+    return step
 
 
 def stream_cooldown(firings: DataFrame, cooldown_s: float) -> DataFrame:

@@ -58,7 +58,7 @@ def first_last(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"))
 
 
-_SAMPLES = """samples AS (SELECT user_id, ts, max(value) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id, ts),
+_SAMPLES = """samples AS (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id, ts),
     steps AS (SELECT *, lag(value) OVER w AS pv, lag(ts) OVER w AS pt, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS back FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY ts))"""
 
 
@@ -68,9 +68,7 @@ _SAMPLES = """samples AS (SELECT user_id, ts, max(value) AS value FROM events WH
            / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) END, 6) AS rate FROM steps GROUP BY user_id"""
 )
 def rate_by_user(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    grouped = events.groupBy("user_id").agg(A.samples(F.col("value"), F.col("ts")).alias("s"))
-    return grouped.select("user_id", _r(A.rate_of(F.col("s"))).alias("rate"))
+    return A.counter_rates(table(spark, sf_dir, "events"), ["user_id"], "value", "ts", "event_id").select("user_id", _r(F.col("rate")).alias("rate"))
 
 
 @query(
@@ -79,9 +77,7 @@ def rate_by_user(spark, sf_dir):
     FROM steps GROUP BY user_id"""
 )
 def irate_by_user(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    grouped = events.groupBy("user_id").agg(A.samples(F.col("value"), F.col("ts")).alias("s"))
-    return grouped.select("user_id", _r(A.irate_of(F.col("s"))).alias("irate"))
+    return A.counter_rates(table(spark, sf_dir, "events"), ["user_id"], "value", "ts", "event_id").select("user_id", _r(F.col("irate")).alias("irate"))
 
 
 def _downsample(fn: str, sql: str):

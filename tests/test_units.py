@@ -182,6 +182,8 @@ def test_triggers(spark, tmp_path):
     registry.execute("ALTER TRIGGER hot DISABLE")
     assert triggers.evaluate(events, registry.triggers["hot"]).count() == 0 and len(registry.execute("SHOW TRIGGERS")) == 1
     registry.execute("DROP TRIGGER hot")
+    registry.execute("CREATE TRIGGER quoted ON cpu WHEN tag host = 'this and that or both' OR v > 90")
+    assert [r.seq for r in triggers.evaluate(events, registry.triggers["quoted"]).collect()] == [3]
     for wrong in ("DROP TRIGGER hot", "CREATE TRIGGER x ON m WHEN nonsense here", "MAKE"):
         with pytest.raises(triggers.TriggerProblem):
             registry.execute(wrong)
@@ -236,6 +238,8 @@ def test_composites_and_scalars(spark):
     found = derived.composite(frame, "ts", {"high": "a > 5", "low": "b < 3"}, 2).collect()
     assert [r.ts.minute for r in found] == [8, 9] and found[0].severity == "critical"
     assert derived.composite(frame, "ts", {"high": "a > 5"}, 1, 3600 * 10**6).count() == 1
+    half = [(datetime(2024, 1, 1, 0, i // 2, 30 * (i % 2)), 9.0) for i in range(10)]
+    assert derived.composite(spark.createDataFrame(half, "ts timestamp_ntz, a double"), "ts", {"high": "a > 5"}, 1, 60 * 10**6).count() == 5
     db = Database(spark)
     db.add("m", frame.withColumn("tag", F.lit("x")), "ts", ["tag"], ["a"])
     at = 1704067200 * 10**6 + 9 * 60 * 10**6
@@ -278,3 +282,58 @@ def test_forecasts_in_sql(spark):
     session.register_forecasts()
     got = {r.k: (r.f, r.a) for r in session.sql("SELECT k, forecast(v, ts, 2) AS f, auto_forecast(v, ts, 3) AS a FROM m GROUP BY k").collect()}
     assert len(got["a"][0]) == 2 and abs(got["a"][1][2] - 27.0) < 1.0 and got["b"] == (None, None)
+
+
+def test_rates_of_long_series_and_repeated_times(spark):
+    from tempora.functions import aggregates as A
+
+    rows = [("a", datetime(2024, 1, 1 + i // 24, i % 24), float(i % 30), i) for i in range(100)] + [("a", datetime(2024, 1, 1), 7.0, 1000), ("b", datetime(2024, 1, 1), 1.0, 0), ("c", datetime(2024, 1, 1), None, 0)]
+    frame = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double, n int")
+    values = [7.0] + [float(i % 30) for i in range(1, 100)]
+    rise = sum(b if b < a else b - a for a, b in zip(values[:-1], values[1:], strict=True))
+    for chunk in ("1h", "1d", "52w"):
+        got = {r.k: (r.rate, r.irate) for r in A.counter_rates(frame, ["k"], "v", "ts", "n", chunk).collect()}
+        assert got["a"] == (pytest.approx(rise / (99 * 3600)), pytest.approx(1 / 3600)) and got["b"] == (None, None) and set(got) == {"a", "b"}
+    whole = frame.groupBy("k").agg(A.samples(F.col("v"), F.col("ts"), F.col("n")).alias("s")).select("k", A.rate_of(F.col("s")).alias("r"))
+    assert {r.k: r.r for r in whole.where("k <> 'c'").collect()}["a"] == pytest.approx(rise / (99 * 3600))
+
+
+def test_walks_against_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    series = {k: [None if rng.random() < 0.1 else float(x) for x in rng.normal(size=300).cumsum()] for k in ("a", None)}
+    rows = [(k, i, v, {"x": 1}) for k, vs in series.items() for i, v in enumerate(vs)]
+    frame = spark.createDataFrame(rows, "k string, t int, v double, m map<string,int>").repartition(3)
+    smoothed = {(r.k, r.t): r.ewm for r in preprocess.ewm(frame, ["k"], ["t"], "v", 0.3).collect()}
+    alarms = {(r.k, r.t): r.is_anomaly for r in anomaly.cusum(frame, ["k"], "v", ["t"]).collect()}
+    fixed = {(r.k, r.t): r.score for r in anomaly.forecast_residual(frame, ["k"], "v", ["t"], alpha=0.3).collect()}
+    fitted = anomaly.forecast_residual(frame, ["k"], "v", ["t"])
+    assert fitted.count() == 600
+    for k, vs in series.items():
+        own = np.array([v for v in vs if v is not None])
+        mean, std = own.mean(), own.std(ddof=1)
+        h, slack = max(4 * std, 1e-3), max(0.5 * std, 1e-4)
+        level, up, down, residuals = None, 0.0, 0.0, []
+        state = None
+        for t, v in enumerate(vs):
+            if v is not None:
+                state = v if state is None else state + 0.3 * (v - state)
+                residuals.append((t, None if level is None else v - level))
+                level = v if level is None else level + 0.3 * (v - level)
+                up, down = max(up + v - mean - slack, 0), max(down - (v - mean) - slack, 0)
+            assert smoothed[k, t] == (None if state is None else pytest.approx(state))
+            assert alarms[k, t] == (max(up, down) > h)
+            if max(up, down) > h:
+                up = down = 0.0
+        seen = np.array([x for _, x in residuals if x is not None])
+        for t, x in residuals:
+            want = 0.0 if x is None else 1 / (1 + np.exp(-2 * (abs(x - seen.mean()) / seen.std(ddof=1) - 3)))
+            assert fixed[k, t] == pytest.approx(want, abs=1e-9)
+
+
+def test_upsampling_and_pipelines(spark):
+    rows = [("a", datetime(2024, 1, 1, 0, 0), 0.0), ("a", datetime(2024, 1, 1, 0, 25), 25.0), ("a", datetime(2024, 1, 1, 0, 30), 10.0), ("b", datetime(2024, 1, 1), 5.0)]
+    frame = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    got = [(r.k, r.ts.minute, r.v) for r in preprocess.resample_up(frame, ["k"], "ts", "v", 600 * 10**6).orderBy("k", "ts").collect()]
+    assert got == [("a", 0, 0.0), ("a", 10, 10.0), ("a", 20, 20.0), ("a", 30, 10.0), ("b", 0, 5.0)]
+    made = preprocess.Pipeline().then(preprocess.resample_up, keys=["k"], time="ts", value="v", interval=600 * 10**6).then(preprocess.ewm, keys=["k"], order=["ts"], value="v", alpha=0.5).run(frame)
+    assert [r.ewm for r in made.where("k = 'a'").orderBy("ts").collect()] == [0.0, 5.0, 12.5, 11.25]
