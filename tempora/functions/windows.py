@@ -75,10 +75,15 @@ def rolling_std(v: Column, over: WindowSpec, w: int) -> Column:
     return F.when(F.row_number().over(over) >= w, _finite(F.stddev_samp(v).over(over.rowsBetween(-(w - 1), 0))))
 
 
-def rolling_corr(a: Column, b: Column, over: WindowSpec, w: int) -> Column:
+def pearson(a: Column, b: Column, over: WindowSpec) -> Column:
+    """Pearson's r of the complete pairs; null without spread, where Spark's corr divides by zero."""
     both = a.isNotNull() & b.isNotNull()
-    frame = over.rowsBetween(-(w - 1), 0)
-    return F.when(F.row_number().over(over) >= w, _finite(F.corr(F.when(both, a), F.when(both, b)).over(frame)))
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_samp(x, y).over(over), F.stddev_samp(x).over(over) * F.stddev_samp(y).over(over))
+
+
+def rolling_corr(a: Column, b: Column, over: WindowSpec, w: int) -> Column:
+    return F.when(F.row_number().over(over) >= w, _finite(pearson(a, b, over.rowsBetween(-(w - 1), 0))))
 
 
 def zscore(v: Column, series: WindowSpec) -> Column:
@@ -101,7 +106,7 @@ def anomaly_score(v: Column, series: WindowSpec, threshold: float = 3.0) -> Colu
 
 
 def correlation(a: Column, b: Column, series: WindowSpec) -> Column:
-    return _finite(F.corr(a, b).over(series))
+    return _finite(pearson(a, b, series))
 
 
 def cross_correlation_pairs(b: Column, over: WindowSpec, lag: int) -> Column:
@@ -117,7 +122,7 @@ def mahalanobis(a: Column, b: Column, series: WindowSpec, ridge: float = 1e-6) -
     sxx, syy, sxy = F.var_samp(x).over(series) + ridge, F.var_samp(y).over(series) + ridge, F.covar_samp(x, y).over(series)
     det = sxx * syy - sxy * sxy
     squared = (syy * dx * dx - 2 * sxy * dx * dy + sxx * dy * dy) / det
-    return F.when(F.count(x).over(series) >= 3, F.sqrt(F.greatest(squared, F.lit(0.0))))
+    return F.when(both & (F.count(x).over(series) >= 3), F.sqrt(F.greatest(squared, F.lit(0.0))))
 
 
 def groups_frame(partition: list[str], order: str, before: int, frame_rank: str = "__group"):

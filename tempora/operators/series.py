@@ -61,7 +61,7 @@ def _each_row(rows: DataFrame, keys: list[str], order: list[str], columns: list[
             made = kernel(*(pdf[c].to_numpy(float) for c in columns))
         except ValueError:
             made = [np.full(len(pdf), np.nan) for _ in names]
-        return pdf[[*keys, *carried]].assign(**dict(zip(names, made, strict=True)))
+        return pdf[list(dict.fromkeys([*keys, *carried]))].assign(**dict(zip(names, made, strict=True)))
 
     outputs = [rows.schema[c] for c in carried] + [T.StructField(n, T.DoubleType()) for n in names]
     return _apply(rows, keys, [*order, *columns, *carried], run, outputs)

@@ -1,119 +1,49 @@
-"""The SQL front end: tables as views, time functions, epoch literals, and a read-only guard."""
+"""The SQL front end: tables as views, the dialect's functions, epoch literals, and a read-only guard."""
 
 from __future__ import annotations
 
 import difflib
 import re
+import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import kernels
-from tempora.functions.buckets import parse_width
+from tempora.functions import windows as W
+from tempora.operators import preprocess, series
+from tempora.plans.dialect import KERNELS, DialectError, arguments, closing, find_calls, masked, rewrite, spec_of
 from tempora.session import ship
 
-_READS = ("select", "with", "values", "from", "table", "show", "describe", "desc", "explain", "(")
-_WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|copy|load|cache|uncache|refresh|set|reset|grant|revoke|use|analyze|msck|repair)\b", re.I)
-_TEXT = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+#: Commands that only look; names are those of the parser's plans.
+_LOOKS = ("Show", "Describe", "Explain")
 
 
 class ReadOnlyError(ValueError):
     pass
 
 
-def guard(text: str) -> None:
-    """Refuse everything but queries, also behind EXPLAIN."""
-    bare = _TEXT.sub(" '' ", text).strip().rstrip(";").strip()
+def guard(text: str, spark: SparkSession | None = None) -> None:
+    """Refuse everything but queries, wherever a write stands in the statement: the parser's plan tells."""
+    bare = masked(text).strip().rstrip(";").strip()
     if ";" in bare:
         raise ReadOnlyError("one statement at a time")
-    word = bare.split(None, 1)[0].lower() if bare else ""
-    if not any(word == r or bare.startswith("(") for r in _READS):
-        raise ReadOnlyError(f"only queries are allowed, not {word.upper() or 'nothing'}")
-    if word == "explain":
-        bare = re.sub(r"(?i)^explain\s+(extended|codegen|cost|formatted)?\s*", "", bare)
-        guard(bare)
-        return
-    if word not in ("show", "describe", "desc"):
-        found = re.match(r"(?is)^(?:with\b.*?\)\s*)?(insert|update|delete|merge)\b", bare)
-        if found or (_WRITES.match(bare)):
-            raise ReadOnlyError("only queries are allowed")
-
-
-def _bucket_sql(width: str, ts: str) -> str:
-    span = parse_width(width)
-    at = f"unix_micros(CAST({ts} AS TIMESTAMP))"
-    if span.months:
-        month = f"((year({ts}) - 1970) * 12 + month({ts}) - 1)"
-        start = f"({month} - pmod({month}, {span.months}))"
-        return f"CAST(make_date(CAST(floor({start} / 12) AS INT) + 1970, CAST(pmod({start}, 12) AS INT) + 1, 1) AS TIMESTAMP_NTZ)"
-    size, anchor = (span.micros, 0) if span.micros else (span.days * 86400 * 10**6, 4 * 86400 * 10**6)
-    return f"CAST(timestamp_micros({at} - pmod({at} - {anchor}, {size})) AS TIMESTAMP_NTZ)"
-
-
-def _arguments(text: str, start: int) -> tuple[list[str], int]:
-    """The arguments of a call whose bracket opens at ``start``, and the place behind it."""
-    depth, begin, out, quoted = 0, start + 1, [], False
-    for i in range(start, len(text)):
-        c = text[i]
-        if c == "'":
-            quoted = not quoted
-        elif quoted:
-            continue
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            depth -= 1
-            if not depth:
-                return [*out, text[begin:i].strip()], i + 1
-        elif c == "," and depth == 1:
-            out.append(text[begin:i].strip())
-            begin = i + 1
-    raise ValueError("a bracket is not closed")
-
-
-def _samples_sql(v: str, ts: str) -> str:
-    """The (t, v) of a group by time; of equal times the largest value."""
-    rows = f"array_sort(collect_list(CASE WHEN ({v}) IS NOT NULL AND ({ts}) IS NOT NULL THEN named_struct('t', unix_micros(CAST({ts} AS TIMESTAMP)), 'v', CAST({v} AS DOUBLE)) END))"
-    return f"filter({rows}, (x, i) -> coalesce(get({rows}, i + 1).t <> x.t, true))"
-
-
-def _rate_sql(v: str, ts: str) -> str:
-    s = _samples_sql(v, ts)
-    rise = f"aggregate({s}, named_struct('p', CAST(NULL AS DOUBLE), 'a', 0D), (a, x) -> named_struct('p', x.v, 'a', a.a + CASE WHEN a.p IS NULL THEN 0D WHEN x.v < a.p THEN x.v ELSE x.v - a.p END), a -> a.a)"
-    return f"CASE WHEN size({s}) >= 2 THEN {rise} / ((element_at({s}, -1).t - element_at({s}, 1).t) / 1e6D) END"
-
-
-def _irate_sql(v: str, ts: str) -> str:
-    s = _samples_sql(v, ts)
-    b, a = f"try_element_at({s}, -1)", f"try_element_at({s}, -2)"
-    return f"CASE WHEN size({s}) >= 2 THEN (CASE WHEN {b}.v < {a}.v THEN {b}.v ELSE {b}.v - {a}.v END) / (({b}.t - {a}.t) / 1e6D) END"
-
-
-#: Aggregates of the time-series dialect over (value, time).
-_AGGREGATES = {"first": lambda v, t: f"min_by({v}, {t})", "last": lambda v, t: f"max_by({v}, {t})", "rate": _rate_sql, "irate": _irate_sql}
-
-
-def rewrite(text: str, time_columns: tuple[str, ...] = ("_time",)) -> str:
-    """time_bucket('width', ts) and integer epochs (nanoseconds) beside time columns, as Spark SQL."""
-    while found := re.search(r"\btime_bucket\s*\(", text, re.I):
-        arguments, end = _arguments(text, found.end() - 1)
-        text = text[: found.start()] + _bucket_sql(arguments[0].strip("'"), arguments[1]) + text[end:]
-    at = 0
-    while found := re.compile(r"(?<![.\w])(first|last|rate|irate)\s*\(", re.I).search(text, at):
-        arguments, end = _arguments(text, found.end() - 1)
-        at = found.end()
-        if len(arguments) == 2 and arguments[1].lower() not in ("true", "false"):
-            made = _AGGREGATES[found[1].lower()](*arguments)
-            text, at = text[: found.start()] + made + text[end:], found.start() + len(made)
-    for column in time_columns:
-        name, number = re.escape(column), r"(-?\d{10,19})(?![\d.eE])"
-        as_time = lambda ns: f"CAST(timestamp_micros({int(ns) // 1000}) AS TIMESTAMP_NTZ)"
-        text = re.sub(rf"(\b{name}\s*(?:=|<>|!=|<=|>=|<|>)\s*){number}", lambda m: m[1] + as_time(m[2]), text)
-        text = re.sub(rf"{number}(\s*(?:=|<>|!=|<=|>=|<|>)\s*{name}\b)", lambda m: as_time(m[1]) + m[2], text)
-        text = re.sub(rf"(\b{name}\s+between\s+){number}(\s+and\s+){number}", lambda m: m[1] + as_time(m[2]) + m[3] + as_time(m[4]), text, flags=re.I)
-        text = re.sub(rf"(\b{name}\s+(?:not\s+)?in\s*\()([\d\s,]+)\)", lambda m: m[1] + ", ".join(as_time(x) for x in m[2].split(",")) + ")", text, flags=re.I)
-    return text
+    if not bare:
+        raise ReadOnlyError("only queries are allowed, not nothing")
+    spark = spark or SparkSession.active()
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text.strip().rstrip(";"))
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ExplainCommand":
+            waiting.append(node.logicalPlan())
+        elif (command.isInstance(node) or name.startswith("Insert") or "Statement" in name) and not name.startswith(_LOOKS):
+            raise ReadOnlyError(f"only queries are allowed, not {name}")
+        for inner in (node.children(), node.innerChildren()):
+            waiting += [x for x in (inner.apply(i) for i in range(inner.size())) if hasattr(x, "children")]
 
 
 class SqlSession:
@@ -129,8 +59,86 @@ class SqlSession:
         self.names.append(name)
 
     def sql(self, text: str) -> DataFrame:
-        guard(text)
-        return self.spark.sql(rewrite(text, self.time_columns))
+        text = self._with_kernels(text)
+        made = rewrite(text, self.time_columns)
+        guard(made, self.spark)
+        return self.spark.sql(made)
+
+    # -- window functions that are no expressions: the rows of their FROM and WHERE get a column more, and stand in for it --
+
+    def _with_kernels(self, text: str) -> str:
+        while calls := find_calls(masked(text), KERNELS):
+            text = self._with_kernel(text, calls[-1])
+        return text
+
+    def _with_kernel(self, text: str, call: re.Match) -> str:
+        bare, name = masked(text), call[1].lower()
+        args, end = arguments(text, bare, call.end() - 1)
+        fewest, most = KERNELS[name]
+        if not fewest <= len(args) <= most:
+            raise DialectError(f"{name} takes {fewest} to {most} arguments")
+        spec, end = spec_of(text, bare, end, name)
+        # the SELECT that the call stands in, and its FROM ... WHERE
+        begin, stop = 0, len(text)
+        for i, c in enumerate(bare[: call.start()]):
+            if c == "(" and closing(bare, i) > call.start():
+                begin, stop = i + 1, closing(bare, i)
+        flat, depth = list(bare), 0
+        for i in range(begin, stop):
+            depth -= bare[i] == ")"
+            if depth:
+                flat[i] = " "
+            depth += bare[i] == "("
+        flat = "".join(flat)
+        select = [m for m in re.compile(r"\bselect\b", re.I).finditer(flat, begin, call.start())]
+        source = re.compile(r"\bfrom\b", re.I).search(flat, end, stop)
+        if not select or not source:
+            raise DialectError(f"{name} stands in no SELECT ... FROM")
+        tail = re.compile(r"\b(group\s+by|having|order\s+by|limit|offset|window|union|intersect|except|minus|qualify)\b", re.I).search(flat, source.end(), stop)
+        rest = tail.start() if tail else stop
+        if tail and tail[1].lower().startswith(("group", "having")):
+            raise DialectError(f"{name} does not stand beside GROUP BY: group in a subquery first")
+        table = re.compile(r"\s*([\w.]+|\()", re.I).match(bare, source.end())
+        behind = closing(bare, table.start(1)) + 1 if table and table[1] == "(" else table.end() if table else rest
+        alias = re.compile(r"\s+(?:as\s+)?(?!where\b|join\b|left\b|right\b|full\b|inner\b|cross\b|lateral\b|on\b)(\w+)", re.I).match(flat, behind, rest)
+        more = flat[alias.end() if alias else behind : rest]
+        if re.match(r"\s*(,|(left|right|full|inner|cross|natural|join|lateral)\b)", more, re.I):
+            raise DialectError(f"{name} reads one table or subquery; join in a subquery first")
+        shown = alias[1] if alias else table[1].rsplit(".", 1)[-1] if table[1] != "(" else "__rows"
+        made, column = f"__kernel_{uuid.uuid4().hex}", f"__k{uuid.uuid4().hex[:8]}"
+        rows = self.sql(f"SELECT * FROM {text[source.end() : rest]}")
+        self._kernel(rows, name, args, spec, column).createOrReplaceTempView(made)
+        items = re.sub(r"(?<=[\s,])\*(?=\s*(,|$))", ", ".join(f"`{c}`" for c in rows.columns), text[select[-1].end() : call.start()] + column + text[end : source.start()])
+        return f"{text[: select[-1].end()]}{items}FROM {made} AS {shown} {text[rest:]}"
+
+    def _kernel(self, rows: DataFrame, name: str, args: list[str], spec, column: str) -> DataFrame:
+        """The rows with the function's value in ``column``."""
+        keys = [x.strip() for x in re.sub(r"(?i)^partition\s+by", "", spec.partition).split(",")] if spec.partition else []
+        if not spec.order:
+            raise DialectError(f"{name} needs ORDER BY")
+        order = re.sub(r"(?i)^order\s+by", "", spec.order).strip()
+        if re.search(r",|\b(desc|nulls)\b", masked(order), re.I):
+            raise DialectError(f"{name} takes one ascending ORDER BY expression")
+        order = re.sub(r"(?i)\s+asc$", "", order)
+        named = rows.withColumns({f"__key{i}": F.expr(rewrite(k, self.time_columns)) for i, k in enumerate(keys)} | {"__order": F.expr(rewrite(order, self.time_columns)), "__value": F.expr(rewrite(args[0], self.time_columns)).cast("double")})
+        own = [f"__key{i}" for i in range(len(keys))]
+        helpers = [*own, "__order", "__value"]
+        if name == "ewm":
+            alpha = float(args[1])
+            return preprocess.ewm(named, own, ["__order"], "__value", alpha, column).drop(*helpers)
+        if name == "cross_correlation":
+            lag = int(args[2])
+            over, whole = Window.partitionBy(*own).orderBy("__order"), Window.partitionBy(*own)
+            b = F.expr(rewrite(args[1], self.time_columns)).cast("double")
+            named = named.withColumn("__partner", F.lag(b, lag).over(over) if lag >= 0 else F.lead(b, -lag).over(over))
+            r = W.pearson(F.col("__value"), F.col("__partner"), whole)
+            return named.withColumn(column, F.when(~F.isnan(r), r)).drop(*helpers, "__partner")
+        period, robust = int(args[1]), len(args) > 2 and args[2].lower() == "true"
+        if period < 2:
+            raise DialectError(f"{name}: the period must be at least 2")
+        parts = series.stl(named, own, ["__order"], "__value", period, robust, carried=["__order", "__value", *rows.columns])
+        whole = F.struct("trend", "seasonal", "residual")
+        return parts.withColumn(column, whole if name == "stl_decompose" else F.col(name.removeprefix("stl_"))).select(*rows.columns, column)
 
     def register_forecasts(self) -> None:
         """SQL aggregates forecast(v, ts, n) and auto_forecast(v, ts, n), arrays of the next n values of a group; a group is one series."""
@@ -150,3 +158,8 @@ class SqlSession:
 
     def register_function(self, name: str, function, kind: str) -> None:
         self.spark.udf.register(name, function, kind)
+
+    def register_aggregate(self, name: str, function, kind: str) -> None:
+        """function(series of values, ...) -> one value per group, over pandas series; null-free groups are not assumed."""
+        ship(self.spark)
+        self.spark.udf.register(name, F.pandas_udf(function, kind, F.PandasUDFType.GROUPED_AGG))

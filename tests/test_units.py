@@ -64,10 +64,10 @@ def test_builder_refusals(spark):
 
 
 def test_read_only_guard(spark):
-    for text in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SET a=b", "SELECT 1; DROP TABLE x", "EXPLAIN DELETE FROM x", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a"):
+    for text in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SET a=b", "SELECT 1; DROP TABLE x", "EXPLAIN DELETE FROM x", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "FROM x INSERT INTO y SELECT *", "WITH a AS (SELECT 1) FROM a INSERT INTO x SELECT *", "CREATE TABLE t AS SELECT 1", "EXPLAIN INSERT INTO x SELECT 1", "CACHE TABLE x", "", "TRUNCATE TABLE x"):
         with pytest.raises(ReadOnlyError):
             guard(text)
-    for text in ("SELECT 'drop table x'", "WITH a AS (SELECT 1) SELECT * FROM a", "EXPLAIN SELECT 1", "SHOW TABLES", "-- hi\nSELECT 1"):
+    for text in ("SELECT 'drop; table x'", "DESCRIBE TABLE x", "FROM x SELECT *", "(SELECT 1) UNION (SELECT 2)", "WITH a AS (SELECT 1) SELECT * FROM a", "EXPLAIN SELECT 1", "SHOW TABLES", "-- hi\nSELECT 1"):
         guard(text.split("\n")[-1])
     session = SqlSession(spark, {"cpu": spark.createDataFrame([(datetime(2024, 1, 1),)], "_time timestamp_ntz")})
     assert session.sql("SELECT * FROM cpu WHERE _time BETWEEN 1704067200000000000 AND 1704067200000000000").count() == 1
@@ -337,3 +337,82 @@ def test_upsampling_and_pipelines(spark):
     assert got == [("a", 0, 0.0), ("a", 10, 10.0), ("a", 20, 20.0), ("a", 30, 10.0), ("b", 0, 5.0)]
     made = preprocess.Pipeline().then(preprocess.resample_up, keys=["k"], time="ts", value="v", interval=600 * 10**6).then(preprocess.ewm, keys=["k"], order=["ts"], value="v", alpha=0.5).run(frame)
     assert [r.ewm for r in made.where("k = 'a'").orderBy("ts").collect()] == [0.0, 5.0, 12.5, 11.25]
+
+
+def _plain_functions(values, name):
+    """Window functions over one series, plainly; null rows stay where the engine's rules keep them."""
+    v = [None if x is None else float(x) for x in values]
+    n = len(v)
+    seen = np.array([x for x in v if x is not None])
+    if name == "diff":
+        return [None if i < 1 or v[i] is None or v[i - 1] is None else v[i] - v[i - 1] for i in range(n)]
+    if name == "pct":
+        return [None if i < 1 or v[i] is None or v[i - 1] in (None, 0.0) else (v[i] - v[i - 1]) / v[i - 1] for i in range(n)]
+    if name in ("mean", "std"):
+        out = []
+        for i in range(n):
+            own = np.array([x for x in v[max(0, i - 2) : i + 1] if x is not None])
+            out.append(None if i < 2 or len(own) < (1 if name == "mean" else 2) else float(own.mean() if name == "mean" else own.std(ddof=1)))
+        return out
+    if name == "z":
+        return [None if x is None or seen.std(ddof=1) == 0 else (x - seen.mean()) / seen.std(ddof=1) for x in v]
+    out, state = [], None
+    for x in v:
+        state = state if x is None else x if state is None else state + 0.5 * (x - state)
+        out.append(state)
+    return out
+
+
+def test_analytics_by_sql_name(spark):
+    from tempora.plans.dialect import DialectError
+
+    rng = np.random.default_rng(11)
+    data = {k: [None if rng.random() < 0.15 else round(float(x), 3) for x in 5 + rng.normal(size=60)] for k in ("a", "b")} | {"c": [1.0, 1.0, 1.0]}
+    rows = [(k, datetime(2024, 1, 1 + i // 24, i % 24), v, float(i % 7)) for k, vs in data.items() for i, v in enumerate(vs)]
+    session = SqlSession(spark, {"m": spark.createDataFrame(rows, "host string, _time timestamp_ntz, v double, b double").repartition(3)})
+    over = "OVER (PARTITION BY host ORDER BY _time)"
+    found = session.sql(f"""SELECT host, _time, v, diff(v) {over} AS diff, pct_change(v) {over} AS pct, rolling_mean(v, 3) OVER w AS mean, rolling_std(v, 3) {over} AS std,
+        zscore(v) OVER (PARTITION BY host) AS z, ewm(v, 0.5) {over} AS ewm, anomaly_score(v, 2.0) {over} AS score, 'diff(v) OVER' AS text
+        FROM m x WHERE host <> 'none' WINDOW w AS (PARTITION BY host ORDER BY _time) ORDER BY host, _time""").collect()
+    assert len(found) == len(rows) and found[0].text == "diff(v) OVER"
+    for k, vs in data.items():
+        own = [r for r in found if r.host == k]
+        for name in ("diff", "pct", "mean", "std", "z", "ewm"):
+            for r, want in zip(own, _plain_functions(vs, name), strict=True):
+                assert r[name] == (want if want is None else pytest.approx(want, abs=1e-9)), (k, name)
+    pairs = session.sql(f"SELECT host, correlation(v, b) {over} AS r, cross_correlation(v, b, 2) {over} AS c, rolling_corr(v, b, 10) {over} AS w, multivariate_anomaly(v, b, 3.0) {over} AS d FROM m").collect()
+    v, b = (np.array(x, float) for x in zip(*[(r[2], r[3]) for r in rows if r[0] == "a" and r[2] is not None], strict=True))
+    assert next(r.r for r in pairs if r.host == "a") == pytest.approx(np.corrcoef(v, b)[0, 1])
+    shifted = np.array([(y, float((i - 2) % 7)) for i, y in enumerate(data["a"]) if i >= 2 and y is not None])
+    assert next(r.c for r in pairs if r.host == "a") == pytest.approx(np.corrcoef(shifted.T)[0, 1])
+    cov = np.cov(v, b) + 1e-6 * np.eye(2)
+    far = np.sqrt(np.einsum("ij,jk,ik->i", np.c_[v - v.mean(), b - b.mean()], np.linalg.inv(cov), np.c_[v - v.mean(), b - b.mean()]))
+    assert sorted(r.d for r in pairs if r.host == "a" and r.d is not None) == pytest.approx(sorted(far))
+    parts = session.sql(f"SELECT v, d.trend + d.seasonal + d.residual - v AS off FROM (SELECT v, stl_decompose(v, 12) {over} AS d FROM m WHERE host = 'a')").collect()
+    assert all((r.off is None) if r.v is None else abs(r.off) < 1e-9 for r in parts)
+    every = session.sql(f"SELECT *, stl_trend(v, 12) {over} AS t FROM m WHERE host = 'b'")
+    assert every.columns == ["host", "_time", "v", "b", "t"] and every.where("v is not null and t is null").count() == 0
+    ahead = session.sql("SELECT host, multivariate_forecast(v, b, _time, 2) AS f FROM m GROUP BY host ORDER BY host").collect()
+    slope, intercept = np.polyfit(b, v, 1)
+    assert ahead[0].f == pytest.approx([intercept + slope * rows[59][3]] * 2) and ahead[2].f is None
+    for wrong in ("diff(v, 1)", f"rolling_mean(v, 0) {over}", f"rolling_mean(v) {over}", f"ewm(v, 2.0) {over}", f"stl_trend(v, 1) {over}", "time_bucket('1d')", "rate(v, _time, v, v)", f"ewm(v, 0.5) {over}, count(*)"):
+        with pytest.raises(ValueError):
+            session.sql(f"SELECT {wrong} FROM m" + (" GROUP BY v" if "count" in wrong else "")).collect()
+    session.register_aggregate("spread", lambda v: float(v.max() - v.min()), "double")
+    assert session.sql("SELECT host, spread(v) AS s FROM m WHERE v IS NOT NULL GROUP BY host ORDER BY host").first().s == pytest.approx(max(v) - min(v))
+
+
+def test_bucket_arguments_in_sql(spark):
+    times = [(datetime(2024, 3, 30, 22, 59) ,), (datetime(2024, 3, 30, 23, 30),), (datetime(2024, 3, 31, 21, 59),), (datetime(2024, 10, 27, 0, 30),), (datetime(2024, 2, 14, 12),)]
+    frame = spark.createDataFrame(times, "ts timestamp_ntz")
+    session = SqlSession(spark, {"m": frame})
+    origin = datetime(2024, 1, 15)
+    for width in ("1d", "1w", "1mo", "1y", "6h", "15m"):
+        for tz, sql_tz in ((None, "NULL"), ("Europe/Berlin", "'europe/berlin'"), ("Asia/Kolkata", "'Asia/Kolkata'")):
+            for start, sql_start in ((None, ""), (origin, ", '2024-01-15'"), (origin, ", TIMESTAMP '2024-01-15 00:00:00'")):
+                want = [r.b for r in frame.select("ts", time_bucket(width, F.col("ts"), tz, start).alias("b")).orderBy("ts").collect()]
+                got = [r.b for r in session.sql(f"SELECT ts, time_bucket('{width}', ts, {sql_tz}{sql_start}) AS b FROM m ORDER BY ts").collect()]
+                assert got == want, (width, tz, start)
+    with pytest.raises(ValueError):
+        session.sql("SELECT time_bucket('1d', ts, 'Mars/Base') FROM m")
+    assert session.sql("SELECT 'time_bucket(''1d'', ts)' AS t, 'ts > 1704067200000000000' AS u FROM m").first().u == "ts > 1704067200000000000"
