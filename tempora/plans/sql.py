@@ -81,7 +81,7 @@ class SqlSession:
         # the SELECT that the call stands in, and its FROM ... WHERE
         begin, stop = 0, len(text)
         for i, c in enumerate(bare[: call.start()]):
-            if c == "(" and closing(bare, i) > call.start():
+            if c == "(" and re.match(r"\s*(select|with)\b", bare[i + 1 :], re.I) and closing(bare, i) > call.start():
                 begin, stop = i + 1, closing(bare, i)
         flat, depth = list(bare), 0
         for i in range(begin, stop):

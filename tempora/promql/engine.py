@@ -1,18 +1,24 @@
 """Evaluation: expressions become DataFrames over all steps at once.
 
 A vector is (key, labels, step, v): ``key`` is the labels in canonical text, ``step`` and ``t`` are
-microseconds. A scalar is a column expression over ``step``. A range vector is the samples of every
-window, sorted: (key, labels, step, s array of (t, v)).
+microseconds. A scalar is a column expression over ``step``. A range vector is the samples of the windows
+that end on steps a to z, sorted, or a summary of them: (key, labels, a, z, s).
 """
 
 from __future__ import annotations
 
+import difflib
 import math
+import re
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempora.functions import histograms as H
 from tempora.functions.buckets import from_micros, micros
 from tempora.promql.syntax import Aggregate, Binary, Call, Matching, Negative, Number, Selector, Subquery, SyntaxProblem, Text, parse
 
@@ -39,6 +45,14 @@ class Grid:
         return (self.end - self.start) // self.step + 1
 
 
+@dataclass(frozen=True)
+class Samples:
+    """Points of series (sid, t, v); ``named`` gives key and labels in place of sid."""
+
+    frame: DataFrame
+    named: Callable[[DataFrame], DataFrame]
+
+
 def key_of(labels: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("\u0001"), e["value"])), "\u0002")
 
@@ -84,37 +98,90 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _extrapolated(s: Column, step: Column, range_us: int, counter: bool, per_second: bool) -> Column:
+def _summary(s: Column) -> Column:
+    """What windows are joined from: ends, number, sum, extremes, drops, changes and resets of sorted samples."""
+    first, last = F.element_at(s, 1), F.element_at(s, -1)
+    return F.struct(
+        first["t"].alias("t0"), first["v"].alias("v0"), last["t"].alias("t1"), last["v"].alias("v1"), F.size(s).alias("n"), _sum(_v(s)).alias("sum"),
+        F.array_min(F.transform(s, lambda x: _nan_as_null(x["v"]))).alias("low"), F.array_max(F.transform(s, lambda x: _nan_as_null(x["v"]))).alias("high"),
+        _pairs(s, lambda a, b: F.when(b["v"] < a["v"], a["v"]).otherwise(0.0)).alias("drop"),
+        _pairs(s, lambda a, b: _differ(a["v"], b["v"])).alias("changes"), _pairs(s, lambda a, b: F.when(b["v"] < a["v"], 1.0).otherwise(0.0)).alias("resets"),
+    )
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return F.when((a == b) | (F.isnan(a) & F.isnan(b)), 0.0).otherwise(1.0)
+
+
+def _joined_summaries(p: Column) -> Column:
+    """The summary of a window from those of its parts, in order of time."""
+    first, last = F.element_at(p, 1), F.element_at(p, -1)
+    total = lambda name: F.aggregate(p, F.lit(0.0), lambda a, x: a + x[name])
+    return F.struct(
+        first["t0"].alias("t0"), first["v0"].alias("v0"), last["t1"].alias("t1"), last["v1"].alias("v1"), F.aggregate(p, F.lit(0), lambda a, x: a + x["n"]).alias("n"), total("sum").alias("sum"),
+        F.array_min(F.transform(p, lambda x: x["low"])).alias("low"), F.array_max(F.transform(p, lambda x: x["high"])).alias("high"),
+        (total("drop") + _pairs(p, lambda a, b: F.when(b["v0"] < a["v1"], a["v1"]).otherwise(0.0))).alias("drop"),
+        (total("changes") + _pairs(p, lambda a, b: _differ(a["v1"], b["v0"]))).alias("changes"), (total("resets") + _pairs(p, lambda a, b: F.when(b["v0"] < a["v1"], 1.0).otherwise(0.0))).alias("resets"),
+    )
+
+
+def _extrapolated(q: Column, step: Column, range_us: int, counter: bool, per_second: bool) -> Column:
     """Change over the window, stretched towards its edges as far as samples suggest."""
-    first, last, n = F.element_at(s, 1), F.element_at(s, -1), F.size(s)
-    change = last["v"] - first["v"]
+    n = q["n"]
+    change = q["v1"] - q["v0"]
     if counter:
-        change = change + _pairs(s, lambda a, b: F.when(b["v"] < a["v"], a["v"]).otherwise(0.0))
-    sampled = (last["t"] - first["t"]) / 1e6
+        change = change + q["drop"]
+    sampled = (q["t1"] - q["t0"]) / 1e6
     average = sampled / (n - 1)
-    before, after = (first["t"] - (step - range_us)) / 1e6, (step - last["t"]) / 1e6
+    before, after = (q["t0"] - (step - range_us)) / 1e6, (step - q["t1"]) / 1e6
     limit = average * 1.1
     far = (lambda gap: gap >= limit) if counter else (lambda gap: gap > limit)
     before = F.when(far(before), average / 2).otherwise(before)
     if counter:
-        zero = sampled * (first["v"] / change)
-        before = F.when((change > 0) & (first["v"] >= 0) & (zero < before), zero).otherwise(before)
+        zero = sampled * (q["v0"] / change)
+        before = F.when((change > 0) & (q["v0"] >= 0) & (zero < before), zero).otherwise(before)
     after = F.when(far(after), average / 2).otherwise(after)
     whole = change * ((sampled + before + after) / sampled)
     whole = whole / (range_us / 1e6) if per_second else whole
     return F.when((n >= 2) & (sampled > 0), whole)
 
 
-def _regression(s: Column, step: Column) -> tuple[Column, Column]:
-    """Slope per second, and the value at ``step``."""
+def _between(a: Column, b: Column, t: Column, counter: bool) -> Column:
+    """Linear between two samples; a counter that fell in between began anew at 0."""
+    low = F.when(b["v"] < a["v"], 0.0).otherwise(a["v"]) if counter else a["v"]
+    return low + (b["v"] - low) * (t - a["t"]) / (b["t"] - a["t"])
+
+
+def _edge_to_edge(s: Column, start: Column, end: Column, smooth: bool, counter: bool) -> Column:
+    """The change from the window's left edge to its right one; null where no sample lies behind the left edge."""
+    at = lambda i: F.get(s, i)
+    n = F.size(s)
+    head = F.slice(s, 1, n - 1)
+    first = F.greatest(F.size(F.filter(head, lambda x: x["t"] <= start)) - 1, F.lit(0))
+    last = F.size(F.filter(head, lambda x: x["t"] < end)) if smooth else n - 1
+    left = F.when(at(first)["t"] >= start, at(first)["v"]).otherwise(_between(at(first), at(first + 1), start, counter) if smooth else at(first)["v"])
+    right = F.when((at(last)["t"] <= end) | (last == 0), at(last)["v"]).otherwise(_between(at(last - 1), at(last), end, counter) if smooth else at(last)["v"])
+    change = right - left
+    if counter:
+        a = F.when(at(first)["t"] <= start, first + 1).otherwise(first)
+        z = F.when(at(last)["t"] >= end, last - 1).otherwise(last)
+        values = F.concat(F.array(left), _v(F.slice(s, a + 1, F.greatest(z - a + 1, F.lit(0)))), F.array(right))
+        both = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda x, y: F.when(y < x, x).otherwise(0.0))
+        change = change + _sum(both)
+    ok = at(last)["t"] > start
+    return F.when(ok & (at(first)["t"] <= end) if smooth else ok, change)
+
+
+def _regression(s: Column) -> tuple[Column, Column, Column]:
+    """Slope per second, and mean time (seconds behind the first sample) and value."""
     n = F.size(s)
-    x = F.transform(s, lambda p: (p["t"] - step) / 1e6)
+    first = F.element_at(s, 1)["t"]
+    x = F.transform(s, lambda p: (p["t"] - first) / 1e6)
     y = _v(s)
     mx, my = _sum(x) / n, _sum(y) / n
     sxy = _sum(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
     sxx = _sum(F.transform(x, lambda a: (a - mx) * (a - mx)))
-    slope = F.when(n >= 2, F.when(sxx != 0, sxy / sxx).otherwise(NAN))
-    return slope, my - slope * mx
+    return F.when(n >= 2, F.when(sxx != 0, sxy / sxx).otherwise(NAN)), mx, my
 
 
 def _smoothed(s: Column, sf: Column, tf: Column) -> Column:
@@ -143,29 +210,32 @@ def _has_nan(s: Column) -> Column:
     return F.exists(s, lambda x: F.isnan(x["v"]))
 
 
-#: Window functions without parameters: samples to a value; null means no result.
-OVER_TIME = {
-    "avg_over_time": lambda s: _sum(_v(s)) / F.size(s),
-    "sum_over_time": lambda s: _sum(_v(s)),
-    "count_over_time": lambda s: F.size(s).cast("double"),
-    "last_over_time": lambda s: F.element_at(s, -1)["v"],
-    "first_over_time": lambda s: F.element_at(s, 1)["v"],
-    "present_over_time": lambda s: F.lit(1.0),
-    "min_over_time": lambda s: F.coalesce(F.array_min(F.transform(s, lambda x: _nan_as_null(x["v"]))), F.lit(NAN)),
-    "max_over_time": lambda s: F.coalesce(F.array_max(F.transform(s, lambda x: _nan_as_null(x["v"]))), F.lit(NAN)),
+#: Window functions that a summary is enough for, and those that need all samples; null means no result.
+FROM_SUMMARY = {
+    "avg_over_time": lambda q: q["sum"] / q["n"],
+    "sum_over_time": lambda q: q["sum"],
+    "count_over_time": lambda q: q["n"].cast("double"),
+    "last_over_time": lambda q: q["v1"],
+    "first_over_time": lambda q: q["v0"],
+    "present_over_time": lambda q: F.lit(1.0),
+    "min_over_time": lambda q: F.coalesce(q["low"], F.lit(NAN)),
+    "max_over_time": lambda q: F.coalesce(q["high"], F.lit(NAN)),
+    "changes": lambda q: q["changes"],
+    "resets": lambda q: q["resets"],
+}
+FROM_SAMPLES = {
     "stddev_over_time": lambda s: F.sqrt(_moments(s)),
     "stdvar_over_time": lambda s: _moments(s),
     "mad_over_time": lambda s: F.when(_has_nan(s), NAN).otherwise(
         _quantile(F.lit(0.5), F.array_sort(F.transform(_v(s), lambda x: F.abs(x - _quantile(F.lit(0.5), _sorted_values(s))))))
     ),
-    "changes": lambda s: _pairs(s, lambda a, b: F.when((a["v"] == b["v"]) | (F.isnan(a["v"]) & F.isnan(b["v"])), 0.0).otherwise(1.0)),
-    "resets": lambda s: _pairs(s, lambda a, b: F.when(b["v"] < a["v"], 1.0).otherwise(0.0)),
     "irate": lambda s: F.when(
         F.size(s) >= 2,
         F.when(F.element_at(s, -1)["v"] < F.element_at(s, -2)["v"], F.element_at(s, -1)["v"]).otherwise(F.element_at(s, -1)["v"] - F.element_at(s, -2)["v"])
         / ((F.element_at(s, -1)["t"] - F.element_at(s, -2)["t"]) / 1e6),
     ),
     "idelta": lambda s: F.when(F.size(s) >= 2, F.element_at(s, -1)["v"] - F.element_at(s, -2)["v"]),
+    "deriv": lambda s: _regression(s)[0],
 }
 
 _log = lambda f: lambda v: F.when(v > 0, f(v)).when(v == 0, float("-inf")).otherwise(NAN)
@@ -197,20 +267,44 @@ CLOCK = {
 }
 
 
+#: Fewest and most arguments of the other functions; those of a window or a value take one.
+ARGUMENTS = {
+    "rate": (1, 1), "increase": (1, 1), "delta": (1, 1), "predict_linear": (2, 2), "quantile_over_time": (2, 2), "double_exponential_smoothing": (3, 3), "holt_winters": (3, 3),
+    "absent": (1, 1), "absent_over_time": (1, 1), "time": (0, 0), "pi": (0, 0), "vector": (1, 1), "scalar": (1, 1), "timestamp": (1, 1), "round": (1, 2), "clamp": (3, 3), "clamp_min": (2, 2),
+    "clamp_max": (2, 2), "label_replace": (5, 5), "label_join": (3, 99), "sort": (1, 1), "sort_desc": (1, 1), "sort_by_label": (1, 99), "sort_by_label_desc": (1, 99), "histogram_quantile": (2, 2),
+    "histogram_count": (1, 1), "histogram_sum": (1, 1), "histogram_avg": (1, 1), "histogram_stddev": (1, 1), "histogram_stdvar": (1, 1), "histogram_fraction": (3, 3),
+}
+#: Windows of at most so many steps are copied to each of them; longer ones only to the steps on which some window changes.
+FEW_STEPS = 64
+
+
 class Engine:
     """Metrics of measurements: ``<measurement>_<field>``, or the measurement's name for the field ``value``."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.metrics = spark, {}
+        self.spark, self.metrics, self.histograms, self._scalars = spark, {}, set(), {}
 
     def add(self, measurement: str, frame: DataFrame, time: str, tags: list[str], fields: list[str]) -> None:
         for f in fields:
             name = measurement if f == "value" else f"{measurement}_{f}"
-            pairs = [x for t in tags for x in (F.lit(t), F.coalesce(F.col(t).cast("string"), F.lit("")))]
-            labels = F.create_map(F.lit("__name__"), F.lit(name), *pairs)
-            labels = F.map_filter(labels, lambda k, v: v != "")
-            rows = frame.where(F.col(f).isNotNull() & F.col(time).isNotNull())
-            self.metrics[name] = (rows, labels, micros(F.col(time)), F.col(f).cast("double"), tags)
+            self.metrics[name] = (frame.where(F.col(f).isNotNull() & F.col(time).isNotNull()), time, F.col(f).cast("double"), tags)
+
+    def add_histograms(self, measurement: str, frame: DataFrame, time: str, tags: list[str], field: str) -> None:
+        """A metric of native histograms (structs of tempora.functions.histograms) for the histogram functions, with its classic view: _count, _sum and cumulative _bucket series."""
+        name = measurement if field == "value" else f"{measurement}_{field}"
+        h = F.col(field)
+        rows = frame.where(h.isNotNull() & F.col(time).isNotNull())
+        self.metrics[f"{name}_count"] = (rows, time, h["count"], tags)
+        self.metrics[f"{name}_sum"] = (rows, time, h["sum"], tags)
+        bound = lambda b: F.pow(F.lit(2.0), b["index"] * F.pow(F.lit(2.0), -h["schema"].cast("double")))
+        cells = F.concat(F.array(F.struct(F.lit("").alias("i"), h["zero_threshold"].alias("le"), h["zero_count"].alias("n"))), F.transform(h["buckets"], lambda b: F.struct(b["index"].cast("string").alias("i"), bound(b).alias("le"), b["count"].alias("n"))))
+        upto = lambda k: F.aggregate(F.slice(F.col("__cells"), 1, k + 1), F.lit(0.0), lambda a, c: a + c["n"])
+        all_cells = F.concat(F.transform("__cells", lambda c, k: F.struct(c["le"].cast("string").alias("le"), upto(k).alias("n"))), F.array(F.struct(F.lit("+Inf").alias("le"), h["count"].alias("n"))))
+        classic = rows.withColumn("__cells", cells).withColumn("__cell", F.explode(all_cells)).withColumns({"le": F.col("__cell.le"), "__n": F.col("__cell.n")})
+        self.metrics[f"{name}_bucket"] = (classic, time, F.col("__n"), [*tags, "le"])
+        native = rows.withColumn("__cell", F.explode(cells)).withColumns({"__index": F.coalesce(F.nullif("__cell.i", F.lit("")), F.lit("zero")), "__schema": h["schema"].cast("string"), "__zero": h["zero_threshold"].cast("string"), "__n": F.col("__cell.n")})
+        self.metrics[f"{name}:native"] = (native, time, F.col("__n"), [*tags, "__index", "__schema", "__zero"])
+        self.histograms.add(name)
 
     # -- queries --
 
@@ -228,66 +322,106 @@ class Engine:
         return self._query(text, grid)
 
     def _query(self, text: str, grid: Grid) -> DataFrame:
-        found = self.eval(parse(text), grid)
+        found = self.eval(parse(text, grid.step / 1e6 if grid.count > 1 else 0.0, (grid.end - grid.start) / 1e6), grid)
         if isinstance(found, Column):
-            found = self._steps(grid).select(F.create_map().cast("map<string,string>").alias("labels"), "step", found.alias("v"))
+            found = self._bound(self._steps(grid), found).select(F.create_map().cast("map<string,string>").alias("labels"), "step", found.alias("v"))
         return found.select("labels", from_micros(F.col("step")).alias("ts"), F.col("v").alias("value"))
 
+    def explain(self, text: str) -> list[str]:
+        """The expression as an indented tree, and why a selector's name matches nothing: names like it."""
+        out: list[str] = []
+
+        def show(node, depth):
+            kind, fields = type(node).__name__, getattr(node, "__dict__", {})
+            inner = {k: v for k, v in fields.items() if isinstance(v, tuple) and v and hasattr(v[0], "__dataclass_fields__") or hasattr(v, "__dataclass_fields__") and k != "matching"}
+            plain = ", ".join(f"{k}={v!r}" for k, v in fields.items() if k not in inner and v not in (None, (), 0, False) and k != "matching")
+            out.append("  " * depth + f"{kind}({plain})")
+            if isinstance(node, Selector) and node.name and node.name not in self.metrics and node.name not in self.histograms:
+                close = difflib.get_close_matches(node.name, self.names())
+                out.append("  " * (depth + 1) + f"no metric {node.name}" + (f"; did you mean {', '.join(close)}?" if close else ""))
+            for v in inner.values():
+                for x in v if isinstance(v, tuple) else (v,):
+                    show(x, depth + 1)
+
+        show(parse(text), 0)
+        return out
+
+    def metadata(self) -> DataFrame:
+        """(metric, labels): the label names of each metric."""
+        return self.spark.createDataFrame([(n, list(self.metrics[n][3])) for n in self.names()], "metric string, labels array<string>")
+
+    def status(self) -> DataFrame:
+        """(metric, series, samples, first, last) of each metric, in one aggregation per metric."""
+        parts = []
+        for name in self.names():
+            rows, time, _, tags = self.metrics[name]
+            parts.append(rows.agg(F.lit(name).alias("metric"), F.count_distinct(F.array(*map(_tag, tags)) if tags else F.lit(1)).alias("series"), F.count(F.lit(1)).alias("samples"), F.min(time).cast("timestamp").alias("first"), F.max(time).cast("timestamp").alias("last")))
+        return _union(parts)
+
     def label_values(self, label: str) -> DataFrame:
-        parts = [rows.select(F.element_at(labels, label).alias("value")) for rows, labels, *_ in self.metrics.values()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out.where("value is not null").distinct()
+        if label == "__name__":
+            return self.spark.createDataFrame([(n,) for n in self.names()], "value string")
+        parts = [rows.select(_tag(label).alias("value")) for rows, _, _, tags in self.metrics.values() if label in tags and not label.startswith("__")]
+        return _union(parts).where("value <> ''").distinct() if parts else self.spark.createDataFrame([], "value string")
 
     def series(self, text: str) -> DataFrame:
-        return self._samples(parse(text)).select("labels", "key").dropDuplicates(["key"]).select("labels")
+        found = self._samples(parse(text))
+        return found.named(found.frame.select("sid").distinct()).select("labels")
 
     def names(self) -> list[str]:
-        return sorted(self.metrics)
+        return sorted(n for n in self.metrics if not n.endswith(":native"))
 
     # -- pieces --
 
     def _steps(self, grid: Grid) -> DataFrame:
         return self.spark.range(grid.count).select((F.lit(grid.start) + F.col("id") * grid.step).alias("step"))
 
-    def _samples(self, selector: Selector) -> DataFrame:
-        """(key, labels, t, v) of the matching series."""
+    def _samples(self, selector: Selector, low: int | None = None, high: int | None = None) -> Samples:
+        """The matching series' samples of (low, high] in microseconds; times and tags are tested on their own columns, so that scans can prune."""
         matchers = [*selector.matchers, *([("__name__", "=", selector.name)] if selector.name else [])]
         if not any(o in ("=", "=~") and v not in ("", ".*") for _, o, v in matchers):
             raise MetricError("a selector needs a matcher that does not match the empty string")
-        chosen = []
-        for name, (rows, labels, t, v, tags) in self.metrics.items():
-            keep, conditions = True, []
+        chosen, names = [], []
+        for name, (rows, time, v, tags) in self.metrics.items():
+            if name.endswith(":native") and selector.name != name:
+                continue
+            named = [(o, value) for label, o, value in matchers if label == "__name__"]
+            if not all((name == value if o in ("=", "!=") else bool(re.fullmatch(value, name, re.S))) == (o in ("=", "=~")) for o, value in named):
+                continue
+            kind = dict(rows.dtypes)[time]
+            if kind in ("timestamp", "timestamp_ntz"):
+                moment = lambda us: F.lit(datetime(1970, 1, 1) + timedelta(microseconds=us)) if kind == "timestamp_ntz" else F.lit(datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us))  # noqa: E731, B023
+                rows = rows if low is None else rows.where(F.col(time) > moment(low))
+                rows = rows if high is None else rows.where(F.col(time) <= moment(high))
+            else:
+                rows = rows if low is None else rows.where((micros(F.col(time)) > low) & (micros(F.col(time)) <= high))
             for label, operator, value in matchers:
-                if label == "__name__":
-                    import re
-
-                    hit = name == value if operator in ("=", "!=") else bool(re.fullmatch(value, name, re.S))
-                    keep &= hit == (operator in ("=", "=~"))
-                    continue
-                own = F.coalesce(F.col(label).cast("string"), F.lit("")) if label in tags else F.lit("")
-                test = own == value if operator in ("=", "!=") else own.rlike(f"^(?s:{value})$")
-                conditions.append(test if operator in ("=", "=~") else ~test)
-            if keep:
-                for c in conditions:
-                    rows = rows.where(c)
-                chosen.append(rows.select(labels.alias("labels"), t.alias("t"), v.alias("v")))
+                if label != "__name__":
+                    rows = rows.where(_matches(label, operator, value, dict(rows.dtypes)[label]) if label in tags else F.lit(_matches_empty(operator, value)))
+            chosen.append(rows.select(F.array(F.lit(name), *map(_tag, tags)).alias("sid"), micros(F.col(time)).alias("t"), v.alias("v")))
+            names.append((name, tags))
+
+        def named(frame: DataFrame) -> DataFrame:
+            labels = F.lit(None).cast("map<string,string>")
+            for name, tags in names:
+                pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col("sid")[i].alias("value")) for i, k in enumerate(["__name__", *tags])))
+                labels = F.when(F.col("sid")[0] == name, F.map_from_entries(F.filter(pairs, lambda p: p["value"] != ""))).otherwise(labels)
+            return frame.withColumn("labels", labels).withColumn("key", key_of(F.col("labels"))).drop("sid")
+
         if not chosen:
-            return self.spark.createDataFrame([], "key string, labels map<string,string>, t long, v double")
-        out = chosen[0]
-        for c in chosen[1:]:
-            out = out.unionByName(c)
-        return _labelled(out, F.col("labels"), "t", "v")
-
-    def _placed(self, samples: DataFrame, grid: Grid, reach_us: int, offset_us: int) -> DataFrame:
-        """Each sample at every step whose window (step - reach, step] holds it."""
+            return Samples(self.spark.createDataFrame([], "sid array<string>, t long, v double"), named)
+        return Samples(_union(chosen), named)
+
+    def _reached(self, samples: Samples, grid: Grid, reach_us: int, offset_us: int) -> DataFrame:
+        """(sid, t, v, a, z): the first and last of the steps whose window (step - reach, step] holds the sample; t is moved by the offset."""
         t = F.col("t") + offset_us - grid.start
-        low = F.greatest(F.ceil(t / grid.step), F.lit(0))
-        high = F.least(F.ceil((t + reach_us) / grid.step) - 1, F.lit(grid.count - 1))
-        placed = samples.withColumns({"__a": low, "__b": high}).where("__a <= __b")
-        k = F.explode(F.sequence("__a", "__b"))
-        return placed.withColumn("__k", k).select("key", "labels", "t", "v", (F.lit(grid.start) + F.col("__k") * grid.step).alias("step"))
+        a = F.greatest(F.ceil(t / grid.step), F.lit(0)).cast("int")
+        z = F.least(F.ceil((t + reach_us) / grid.step) - 1, F.lit(grid.count - 1)).cast("int")
+        return samples.frame.select("sid", (F.col("t") + offset_us).alias("t"), "v", a.alias("a"), z.alias("z")).where("a <= z")
+
+    def _expanded(self, rows: DataFrame, grid: Grid) -> DataFrame:
+        """Rows of steps a to z as one row per step."""
+        return rows.withColumn("__k", F.explode(F.sequence("a", "z"))).withColumn("step", F.lit(grid.start) + F.col("__k").cast("long") * grid.step).drop("a", "z", "__k")
 
     def _pinned(self, node, grid: Grid, evaluate) -> DataFrame:
         """Evaluate at the time given by @ and repeat the result on every step."""
@@ -297,16 +431,45 @@ class Engine:
         once = evaluate(replace(node, at=None), Grid(at, at, 1)).drop("step")
         return once.withColumn("step", F.explode(F.sequence(F.lit(grid.start), F.lit(grid.end), F.lit(grid.step))))
 
-    def _instant_vector(self, node: Selector, grid: Grid) -> DataFrame:
-        placed = self._placed(self._samples(node), grid, LOOKBACK_MS * 1000, node.offset * 1000)
-        return placed.groupBy("key", "step").agg(F.first("labels").alias("labels"), F.max_by("v", "t").alias("v")).select("key", "labels", "step", "v")
-
-    def _windows(self, node, grid: Grid) -> tuple[DataFrame, int]:
-        """(key, labels, step, s) and the length of the windows in microseconds."""
+    def _instant_vector(self, node: Selector, grid: Grid, value: str = "v") -> DataFrame:
+        """The newest sample of each step's lookback: of those that arrive at one step the newest, until the next arrives."""
+        if node.extended:
+            return self._smoothed_vector(node, grid)
+        offset, reach = node.offset * 1000, LOOKBACK_MS * 1000
+        samples = self._samples(node, grid.start - offset - reach, grid.end - offset)
+        newest = self._reached(samples, grid, reach, offset).groupBy("sid", "a").agg(F.max(F.struct("t", "v")).alias("x"), F.max("z").alias("z"))
+        following = F.lead("a").over(Window.partitionBy("sid").orderBy("a"))
+        held = newest.withColumn("z", F.least("z", following - 1))
+        v = F.col("x.v") if value == "v" else F.col("x.t") / 1e6
+        found = self._expanded(samples.named(held.select("sid", "a", "z", v.alias("v"))), grid)
+        return found.select("key", "labels", "step", "v")
+
+    def _smoothed_vector(self, node: Selector, grid: Grid) -> DataFrame:
+        rows, _ = self._extended_windows(node, grid, LOOKBACK_MS * 1000, LOOKBACK_MS * 1000)
+        s, t = F.col("s"), F.col("step")
+        i = F.size(F.filter(s, lambda x: x["t"] < t))
+        here, before = F.get(s, i), F.get(s, F.when(i > 0, i - 1))
+        made = F.when(here["t"] == t, here["v"]).when(before.isNotNull() & here.isNotNull(), _between(before, here, t, False)).otherwise(before["v"])
+        return rows.withColumn("v", made).where("v is not null").select("key", "labels", "step", "v")
+
+    def _extended_windows(self, node: Selector, grid: Grid, before_us: int, after_us: int) -> tuple[DataFrame, int]:
+        """(key, labels, step, s): the samples of (step - before, step + after]."""
+        offset = node.offset * 1000
+        samples = self._samples(node, grid.start - offset - before_us, grid.end - offset + after_us)
+        # a window that ends later is one whose samples come earlier
+        reached = self._reached(samples, grid, before_us + after_us, offset - after_us).withColumn("t", F.col("t") + after_us)
+        rows = self._expanded(reached, grid).groupBy("sid", "step").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
+        return samples.named(rows), after_us
+
+    def _windows(self, node, grid: Grid, summary: bool = False) -> tuple[DataFrame, int]:
+        """(key, labels, a, z, s) and the length of the windows in microseconds: sorted samples (or their summary) of the windows that end on steps a to z."""
         if isinstance(node, Selector) and node.range is not None:
+            if node.extended:
+                raise MetricError(f"{node.extended} is for rate, increase and delta" + (", changes and resets" if node.extended == "anchored" else ""))
 
             def evaluate(n, g):
-                return self._gathered(self._placed(self._samples(n), g, n.range * 1000, n.offset * 1000), n.offset * 1000)
+                offset, reach = n.offset * 1000, n.range * 1000
+                return self._gathered(self._samples(n, g.start - offset - reach, g.end - offset), g, reach, offset, summary)
 
         elif isinstance(node, Subquery):
 
@@ -315,19 +478,47 @@ class Engine:
                 low = g.start - n.offset * 1000 - n.range * 1000
                 first = (low // res + 1) * res
                 last = (g.end - n.offset * 1000) // res * res
-                inner = self.eval(n.inner, Grid(first, max(first, last), res))
+                inner_grid = Grid(first, max(first, last), res)
+                inner = self.eval(n.inner, inner_grid)
                 if isinstance(inner, Column):
-                    inner = self._steps(Grid(first, max(first, last), res)).select(F.lit("").alias("key"), F.create_map().cast("map<string,string>").alias("labels"), "step", inner.alias("v"))
-                samples = inner.select("key", "labels", F.col("step").alias("t"), "v")
-                return self._gathered(self._placed(samples, g, n.range * 1000, n.offset * 1000), n.offset * 1000)
+                    inner = self._bound(self._steps(inner_grid), inner).select(F.lit("").alias("key"), F.create_map().cast("map<string,string>").alias("labels"), "step", inner.alias("v"))
+                frame = inner.select(F.struct("key", F.map_entries("labels").alias("labels")).alias("sid"), F.col("step").alias("t"), "v")
+                named = lambda rows: rows.withColumns({"key": F.col("sid.key"), "labels": F.map_from_entries("sid.labels")}).drop("sid")
+                return self._gathered(Samples(frame, named), g, n.range * 1000, n.offset * 1000, summary)
 
         else:
             raise MetricError("a range vector is needed")
-        return self._pinned(node, grid, evaluate), node.range * 1000
-
-    def _gathered(self, placed: DataFrame, offset_us: int) -> DataFrame:
-        rows = placed.groupBy("key", "step").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct((F.col("t") + offset_us).alias("t"), "v"))).alias("s"))
-        return rows.select("key", "labels", "step", "s")
+        if node.at is not None:
+            pinned = self._pinned(node, grid, lambda n, g: self._expanded(evaluate(n, g), g))
+            return pinned.withColumn("a", ((F.col("step") - grid.start) / grid.step).cast("int")).withColumn("z", F.col("a")).drop("step"), node.range * 1000
+        return evaluate(node, grid), node.range * 1000
+
+    def _gathered(self, samples: Samples, grid: Grid, reach_us: int, offset_us: int, summary: bool) -> DataFrame:
+        """(key, labels, a, z, s). Samples that come and go on the same steps are put together first; then each such pane goes to the steps of its windows, or, where those are many, only to the steps on which the series' window changes."""
+        reached = self._reached(samples, grid, reach_us, offset_us)
+        s = F.array_sort(F.collect_list(F.struct("t", "v")))
+        panes = reached.groupBy("sid", "a", "z").agg(s.alias("s"))
+        if summary:
+            panes = panes.withColumn("s", _summary(F.col("s")))
+        at = F.col("s.t0") if summary else F.get("s", 0)["t"]
+        part = F.struct(at.alias("t"), "s")
+        if min(reach_us // grid.step, grid.count) <= FEW_STEPS:
+            spread = panes.withColumn("__c", F.explode(F.sequence("a", "z")))
+            until = F.col("__c")
+            rows = spread.groupBy("sid", "__c").agg(F.array_sort(F.collect_list(part)).alias("p")).withColumns({"a": F.col("__c"), "z": until})
+        else:
+            # numbered steps on which some pane comes or goes
+            cuts = panes.select("sid", F.explode(F.array(F.col("a"), F.col("z") + 1)).alias("c")).distinct()
+            in_order = Window.partitionBy("sid").orderBy("c")
+            cuts = cuts.withColumns({"i": F.row_number().over(in_order), "next": F.lead("c").over(in_order)})
+            number = lambda c, i: cuts.select("sid", F.col("c").alias(c), F.col("i").alias(i))
+            spread = panes.withColumn("__z", F.col("z") + 1).join(number("a", "__i"), ["sid", "a"]).join(number("__z", "__j"), ["sid", "__z"])
+            spread = spread.select("sid", "s", F.explode(F.sequence(F.col("__i"), F.col("__j") - 1)).alias("i"))
+            rows = spread.groupBy("sid", "i").agg(F.array_sort(F.collect_list(part)).alias("p"))
+            rows = rows.join(cuts, ["sid", "i"]).select("sid", F.col("c").alias("a"), (F.col("next") - 1).alias("z"), "p")
+        parts = F.transform("p", lambda x: x["s"])
+        joined = F.transform(F.array(parts), _joined_summaries)[0] if summary else F.flatten(parts)
+        return samples.named(rows.select("sid", "a", "z", joined.alias("s")))
 
     # -- evaluation --
 
@@ -359,7 +550,14 @@ class Engine:
         return merged.select("key", "labels", "step", ok.alias("v"))
 
     def _mapped(self, vector: DataFrame, value: Column) -> DataFrame:
-        return self._plain(vector.withColumn("v", value).where("v is not null"))
+        return self._plain(self._bound(vector, value).withColumn("v", value).where("v is not null"))
+
+    def _bound(self, frame: DataFrame, value: Column) -> DataFrame:
+        """The frame with the scalars that a column reads, joined by step; each has at most a row per step of the grid."""
+        for name in sorted(set(re.findall(r"__scalar_[0-9a-f]+", str(value)))):
+            if name not in frame.columns:
+                frame = frame.join(F.broadcast(self._scalars[name]), "step", "left").withColumn(name, F.coalesce(name, F.lit(NAN)))
+        return frame
 
     def _scalar(self, node, grid: Grid) -> Column:
         found = self.eval(node, grid)
@@ -380,7 +578,7 @@ class Engine:
         if node.name in ("topk", "bottomk"):
             ordered = [F.isnan(v), v.desc() if node.name == "topk" else v.asc(), "key"]
             k = self._scalar(node.parameter, grid)
-            ranked = vector.withColumn("__group", key_of(labels)).withColumn("__r", F.row_number().over(Window.partitionBy("__group", "step").orderBy(*ordered)))
+            ranked = self._bound(vector, k).withColumn("__group", key_of(labels)).withColumn("__r", F.row_number().over(Window.partitionBy("__group", "step").orderBy(*ordered)))
             return ranked.where(F.col("__r") <= k).select("key", "labels", "step", "v")
         grouped = vector.withColumn("__labels", labels)
         if node.name == "count_values":
@@ -402,7 +600,8 @@ class Engine:
         }[node.name]()
         out = grouped.agg(F.first("labels").alias("labels"), made.alias("v"))
         if node.name == "quantile":
-            out = out.withColumn("v", F.when(F.exists("v", F.isnan), NAN).otherwise(_quantile(self._scalar(node.parameter, grid), F.col("v"))))
+            q = self._scalar(node.parameter, grid)
+            out = self._bound(out, q).withColumn("v", F.when(F.exists("v", F.isnan), NAN).otherwise(_quantile(q, F.col("v"))))
         return out.select("key", "labels", "step", "v")
 
     def _binary(self, node: Binary, grid: Grid):
@@ -423,7 +622,7 @@ class Engine:
             v = F.col("v")
             made = _operate(node.operator, left, v) if a_scalar else _operate(node.operator, v, right)
             if compares and not node.bool_result:
-                return vector.where(made)
+                return self._bound(vector, made).where(made).select("key", "labels", "step", "v")
             return self._mapped(vector, made.cast("double"))
         return self._matched(node, left, right, compares)
 
@@ -471,27 +670,40 @@ class Engine:
 
     def _call(self, node: Call, grid: Grid):
         name, arguments = node.name, node.arguments
+        fewest, most = (1, 1) if name in FROM_SUMMARY or name in FROM_SAMPLES or name in ELEMENT else (0, 1) if name in CLOCK else ARGUMENTS.get(name, (None, None))
+        if fewest is None:
+            raise MetricError(f"unknown function {name!r}")
+        if not fewest <= len(arguments) <= most:
+            raise MetricError(f"{name} takes {fewest if fewest == most else f'{fewest} to {most}'} arguments, not {len(arguments)}")
+        if name in ("rate", "increase", "delta", "changes", "resets") and isinstance(arguments[0], Selector) and arguments[0].extended and arguments[0].range is not None:
+            return self._extended_call(name, arguments[0], grid)
         if name in ("rate", "increase", "delta"):
-            rows, length = self._windows(arguments[0], grid)
+            rows, length = self._windows(arguments[0], grid, summary=True)
             made = _extrapolated(F.col("s"), F.col("step"), length, name != "delta", name == "rate")
-            return self._mapped(rows, made)
-        if name in OVER_TIME:
-            rows, _ = self._windows(arguments[0], grid)
-            rows = rows.withColumn("v", OVER_TIME[name](F.col("s"))).where("v is not null").select("key", "labels", "step", "v")
+            return self._mapped(self._expanded(rows, grid), made)
+        if name in FROM_SUMMARY or name in FROM_SAMPLES:
+            rows, _ = self._windows(arguments[0], grid, summary=name in FROM_SUMMARY)
+            rows = rows.withColumn("v", (FROM_SUMMARY.get(name) or FROM_SAMPLES[name])(F.col("s"))).where("v is not null").drop("s")
+            rows = self._expanded(rows, grid).select("key", "labels", "step", "v")
             return rows if name in ("last_over_time", "first_over_time") else self._plain(rows)
-        if name in ("deriv", "predict_linear"):
+        if name == "predict_linear":
             rows, _ = self._windows(arguments[0], grid)
-            slope, here = _regression(F.col("s"), F.col("step"))
-            return self._mapped(rows, slope if name == "deriv" else here + slope * self._scalar(arguments[1], grid))
+            slope, mx, my = _regression(F.col("s"))
+            rows = self._expanded(rows.withColumn("__r", F.struct(F.element_at("s", 1)["t"].alias("t"), slope.alias("b"), mx.alias("x"), my.alias("y"))).drop("s"), grid)
+            r = F.col("__r")
+            return self._mapped(rows, r["y"] + r["b"] * ((F.col("step") - r["t"]) / 1e6 - r["x"] + self._scalar(arguments[1], grid)))
         if name == "quantile_over_time":
             rows, _ = self._windows(arguments[1], grid)
-            made = F.when(_has_nan(F.col("s")), NAN).otherwise(_quantile(self._scalar(arguments[0], grid), _sorted_values(F.col("s"))))
-            return self._mapped(rows, made)
+            sorted_rows = rows.withColumn("s", F.when(~_has_nan(F.col("s")), _sorted_values(F.col("s"))))
+            made = F.when(F.col("s").isNull(), NAN).otherwise(_quantile(self._scalar(arguments[0], grid), F.col("s")))
+            if isinstance(arguments[0], Number):  # one value for all steps of a window
+                return self._plain(self._expanded(sorted_rows.withColumn("v", made).drop("s"), grid).select("key", "labels", "step", "v"))
+            return self._mapped(self._expanded(sorted_rows, grid), made)
         if name in ("double_exponential_smoothing", "holt_winters"):
             rows, _ = self._windows(arguments[0], grid)
-            return self._mapped(rows, _smoothed(F.col("s"), *(self._scalar(a, grid) for a in arguments[1:])))
+            return self._mapped(self._expanded(rows, grid), _smoothed(F.col("s"), *(self._scalar(a, grid) for a in arguments[1:])))
         if name in ("absent", "absent_over_time"):
-            rows = self._windows(arguments[0], grid)[0] if name == "absent_over_time" else self._vector(arguments[0], grid)
+            rows = self._expanded(self._windows(arguments[0], grid, summary=True)[0].select("a", "z").distinct(), grid) if name == "absent_over_time" else self._vector(arguments[0], grid)
             selector = arguments[0]
             known = [x for label, o, value in getattr(selector, "matchers", ()) if o == "=" for x in (F.lit(label), F.lit(value))]
             labels = F.create_map(*known) if known else F.create_map().cast("map<string,string>")
@@ -502,7 +714,7 @@ class Engine:
             return F.lit(math.pi)
         if name == "vector":
             value = self._scalar(arguments[0], grid)
-            return _labelled(self._steps(grid).withColumn("v", value), F.create_map().cast("map<string,string>"), "step", "v")
+            return _labelled(self._bound(self._steps(grid), value).withColumn("v", value), F.create_map().cast("map<string,string>"), "step", "v")
         if name in CLOCK:
             vector = self._vector(arguments[0], grid) if arguments else self._call(Call("vector", (Call("time"),)), grid)
             return self._mapped(vector, _clock(F.col("v"), CLOCK[name]))
@@ -510,8 +722,8 @@ class Engine:
             return self._mapped(self._vector(arguments[0], grid), ELEMENT[name](F.col("v")).cast("double"))
         if name == "timestamp":
             if isinstance(arguments[0], Selector):
-                placed = self._placed(self._samples(arguments[0]), grid, LOOKBACK_MS * 1000, arguments[0].offset * 1000)
-                found = placed.groupBy("key", "step").agg(F.first("labels").alias("labels"), (F.max("t") / 1e6).alias("v"))
+                # offset moves a sample's time, which is told as it was stored
+                found = self._pinned(arguments[0], grid, lambda n, g: self._instant_vector(n, g, "t").withColumn("v", F.col("v") - n.offset / 1000))
                 return self._plain(found.select("key", "labels", "step", "v"))
             return self._mapped(self._vector(arguments[0], grid), F.col("step") / 1e6)
         if name == "round":
@@ -537,20 +749,76 @@ class Engine:
                 natural = F.array_join(F.transform(F.regexp_extract_all(F.coalesce(F.element_at("labels", a.value), F.lit("")), F.lit(r"(\d+|\D+)")), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
                 parts.append(natural.desc() if name.endswith("desc") else natural.asc())
             return self._vector(arguments[0], grid).orderBy("step", *parts, "key")
-        if name == "histogram_quantile":
-            return self._histogram_quantile(node, grid)
+        if name.startswith("histogram_"):
+            if any(self._is_native(a) for a in arguments):
+                return self._native(name, arguments, grid)
+            if name == "histogram_quantile":
+                return self._histogram_quantile(node, grid)
+            return self._vector(arguments[-1], grid).where(F.lit(False))  # floats are no histograms
         if name == "scalar":
             return self._as_scalar(self._vector(arguments[0], grid), grid)
         raise MetricError(f"unknown function {name!r}")
 
+    def _extended_call(self, name: str, node: Selector, grid: Grid) -> DataFrame:
+        smooth = node.extended == "smoothed"
+        if smooth and name in ("changes", "resets"):
+            raise MetricError("smoothed is for rate, increase and delta")
+        look, length = LOOKBACK_MS * 1000, node.range * 1000
+        rows = self._pinned(node, grid, lambda n, g: self._extended_windows(n, g, length + look, look if smooth else 0)[0])
+        s, end = F.col("s"), F.col("step")
+        if name in ("changes", "resets"):
+            after = F.size(F.filter(s, lambda x: x["t"] <= end - length))
+            kept = F.slice(s, F.greatest(after, F.lit(1)), F.size(s))
+            count = _pairs(kept, (lambda a, b: _differ(a["v"], b["v"])) if name == "changes" else (lambda a, b: F.when(b["v"] < a["v"], 1.0).otherwise(0.0)))
+            return self._mapped(rows, F.when(F.element_at(s, -1)["t"] > end - length, count))
+        made = _edge_to_edge(s, end - length, end, smooth, name != "delta")
+        return self._mapped(rows, made / (length / 1e6) if name == "rate" else made)
+
+    # -- native histograms: their cells are series of their own, on which sums and averages work as on others --
+
+    def _is_native(self, node) -> bool:
+        inner = node.inner if isinstance(node, Aggregate) else node
+        return isinstance(inner, Selector) and inner.name in self.histograms and inner.range is None
+
+    def _native(self, name: str, arguments: tuple, grid: Grid) -> DataFrame:
+        node = arguments[-1]
+        if isinstance(node, Aggregate) and node.name not in ("sum", "avg"):
+            raise MetricError("histograms are aggregated by sum and avg")
+        cell = ("__index", "__schema", "__zero")
+        selector = node.inner if isinstance(node, Aggregate) else node
+        over = lambda view: replace(node, inner=replace(selector, name=selector.name + view)) if isinstance(node, Aggregate) else replace(selector, name=selector.name + view)
+        own = over(":native")
+        if isinstance(own, Aggregate) and not own.without:
+            own = replace(own, labels=(*own.labels, *cell))
+        cells = self._vector(own, grid)
+        part = F.struct(F.element_at("labels", "__index").try_cast("int").alias("index"), F.col("v").alias("count"))
+        cells = cells.withColumns({"__p": part, "__s": F.element_at("labels", "__schema").cast("int"), "__z": F.element_at("labels", "__zero").cast("double")})
+        cells = _labelled(cells, _without(F.col("labels"), (*cell, "__name__")), "step", "__p", "__s", "__z")
+        sums = _labelled(self._vector(over("_sum"), grid), _without(F.col("labels"), ("__name__",)), "step", "v").select("key", "step", F.col("v").alias("__sum"))
+        zero, rest = F.when(F.col("__p.index").isNull(), F.col("__p.count")), F.when(F.col("__p.index").isNotNull(), F.col("__p"))
+        schema = F.when(F.count_distinct("__s") == 1, F.max("__s")).otherwise(F.raise_error(F.lit("histograms of several schemas")).cast("int"))
+        rows = cells.groupBy("key", "step").agg(F.first("labels").alias("labels"), schema.alias("schema"), F.max("__z").alias("zero_threshold"), F.coalesce(F.sum(zero), F.lit(0.0)).alias("zero_count"), F.sum("__p.count").alias("count"), F.array_sort(F.collect_list(rest)).alias("buckets"))
+        rows = rows.join(sums, ["key", "step"]).withColumn("h", F.struct("schema", "zero_threshold", "zero_count", "count", F.col("__sum").alias("sum"), "buckets"))
+        h = F.col("h")
+
+        def number(i: int) -> float:
+            inner = arguments[i].inner if isinstance(arguments[i], Negative) else arguments[i]
+            if not isinstance(inner, Number):
+                raise MetricError(f"{name} takes its parameters as numbers")
+            return -inner.value if isinstance(arguments[i], Negative) else inner.value
+
+        made = {
+            "histogram_count": lambda: h["count"], "histogram_sum": lambda: h["sum"], "histogram_avg": lambda: H.histogram_avg(h), "histogram_stdvar": lambda: H.histogram_stdvar(h), "histogram_stddev": lambda: F.sqrt(H.histogram_stdvar(h)),
+            "histogram_fraction": lambda: H.histogram_fraction(number(0), number(1), h), "histogram_quantile": lambda: H.histogram_quantile(number(0), h),
+        }[name]()
+        return rows.select("key", "labels", "step", made.alias("v")).where("v is not null")
+
     def _as_scalar(self, vector: DataFrame, grid: Grid) -> Column:
-        """The value of the only series at each step, NaN where there is none or more: at most one number per step comes to the driver."""
-        single = vector.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).where("n = 1").select("step", "v")
-        known = single.limit(grid.count).collect()
-        if not known:
-            return F.lit(NAN)
-        table = F.create_map(*(x for r in known for x in (F.lit(r.step), F.lit(r.v))))
-        return F.coalesce(F.try_element_at(table, F.col("step")), F.lit(NAN))
+        """The value of the only series at each step, NaN where there is none or more: a column that is joined by step where it is used."""
+        single = vector.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).where("n = 1")
+        name = f"__scalar_{uuid.uuid4().hex}"
+        self._scalars[name] = single.select("step", F.col("v").alias(name))
+        return F.col(name)
 
     def _relabelled(self, vector: DataFrame, target: str, value: Column) -> DataFrame:
         if not target.isidentifier():
@@ -593,7 +861,41 @@ class Engine:
             .when((i == 1) & (here["le"] <= 0), here["le"])
             .otherwise(inside)
         )
-        return rows.select("key", "labels", "step", value.alias("v"))
+        return self._bound(rows, value).select("key", "labels", "step", value.alias("v"))
+
+
+def _tag(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _matches_empty(operator: str, value: str) -> bool:
+    """Whether a series without the label matches."""
+    hit = value == "" if operator in ("=", "!=") else bool(re.fullmatch(value, "", re.S))
+    return hit == (operator in ("=", "=~"))
+
+
+def _matches(label: str, operator: str, value: str, kind: str) -> Column:
+    """A test on the tag's own column where that says the same; a null or empty tag is no label."""
+    own = F.col(label)
+    if kind == "string":
+        if operator == "=":
+            return own == value if value else own.isNull() | (own == "")
+        if operator == "!=":
+            return own.isNull() | (own != value) if value else own.isNotNull() & (own != "")
+        if not _matches_empty("=~", value):
+            hit = own.isNotNull() & own.rlike(f"^(?s:{value})$")
+            return hit if operator == "=~" else ~hit
+    if kind in ("tinyint", "smallint", "int", "bigint") and operator == "=" and re.fullmatch(r"-?[1-9]\d{0,17}|0", value):
+        return own == F.lit(int(value))
+    test = _tag(label) == value if operator in ("=", "!=") else _tag(label).rlike(f"^(?s:{value})$")
+    return test if operator in ("=", "=~") else ~test
 
 
 def _operate(operator: str, a: Column, b: Column) -> Column:

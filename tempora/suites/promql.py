@@ -72,3 +72,14 @@ _prom("promql_predict_linear", "predict_linear(events[3d], 3600)", ["event_type"
 _prom("promql_smoothing", "double_exponential_smoothing(events[3d], 0.5, 0.3)", ["event_type", "user_id"])
 _prom("promql_element", "round(sqrt(clamp(last_over_time(events[2d]), 10, 80)), 0.1)", ["event_type", "user_id"], f"{_LAST} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(floor(sqrt(greatest(10, least(80, v))) / 0.1 + 0.5) * 0.1, 6) AS value FROM l")
 _prom("promql_clock", "day_of_month() + hour() / 100", [], "SELECT make_timestamp(1704153600000000 + i * 86400000000) AS ts, CAST(2 + i AS DOUBLE) AS value FROM generate_series(0, 5) t(i)")
+_prom("promql_minutes_of_a_month", "sum by (event_type) (count_over_time(events[30d]))", ["event_type"], f"WITH {_WINDOW.format('30 DAY')} SELECT event_type, step AS ts, CAST(count(*) AS DOUBLE) AS value FROM w GROUP BY 1, 2")
+_prom("promql_group_right", "sum by (event_type) (last_over_time(events[2d])) * on (event_type) group_right last_over_time(events[2d])", ["event_type", "user_id"], f"{_LAST} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(v * sum(v) OVER (PARTITION BY event_type, step), 4) AS value FROM l", 4)
+_prom("promql_bottomk", "bottomk by (event_type) (2, last_over_time(events[2d]))", ["event_type", "user_id"], f"{_LAST} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(v, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, step ORDER BY v, CAST(user_id AS VARCHAR)) AS r FROM l) WHERE r <= 2")
+_prom("promql_and_or", '(last_over_time(events{event_type="click"}[2d]) and last_over_time(events[1d])) or last_over_time(events{event_type="view"}[2d])', ["event_type", "user_id"], f"""{_LAST}, d AS (SELECT DISTINCT user_id, event_type, step FROM w WHERE ts > step - INTERVAL 1 DAY)
+    SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, step AS ts, round(v, 6) AS value FROM l LEFT JOIN d USING (user_id, event_type, step) WHERE event_type = 'view' OR (event_type = 'click' AND d.user_id IS NOT NULL)""")
+_prom("promql_count_values", 'count_values("rounded", round(last_over_time(events[2d]), 50))', ["rounded"], f"{_LAST} SELECT CAST(CAST(floor(v / 50 + 0.5) * 50 AS BIGINT) AS VARCHAR) AS rounded, step AS ts, CAST(count(*) AS DOUBLE) AS value FROM l GROUP BY 1, 2")
+_prom("promql_at", "sum by (event_type) (sum_over_time(events[2d] @ end()))", ["event_type"], f"WITH {_WINDOW.format('2 DAY')}, s AS (SELECT event_type, sum(value) AS v FROM w WHERE step = (SELECT max(step) FROM g) GROUP BY 1) SELECT event_type, step AS ts, round(v, 4) AS value FROM s, g", 4)
+_prom("promql_scalar", "sum by (event_type) (sum_over_time(events[1d])) / scalar(sum(sum_over_time(events[1d])))", ["event_type"], f"WITH {_WINDOW.format('1 DAY')} SELECT event_type, step AS ts, round(sum(value) / sum(sum(value)) OVER (PARTITION BY step), 6) AS value FROM w GROUP BY 1, 2")
+_prom("promql_anchored", "delta(events[2d] anchored)", ["event_type", "user_id"], """WITH g AS (SELECT make_timestamp(1704153600000000 + i * 86400000000) AS step FROM generate_series(0, 5) t(i)), p AS (SELECT user_id, event_type, ts, max(value) AS value FROM events GROUP BY 1, 2, 3),
+    w AS (SELECT p.*, g.step FROM p JOIN g ON p.ts <= g.step AND p.ts > g.step - INTERVAL 2 DAY - INTERVAL 5 MINUTE), a AS (SELECT user_id, event_type, step, max(ts) AS last, coalesce(max(ts) FILTER (WHERE ts <= step - INTERVAL 2 DAY), min(ts)) AS first FROM w GROUP BY 1, 2, 3)
+    SELECT a.event_type, CAST(a.user_id AS VARCHAR) AS user_id, a.step AS ts, round(z.value - f.value, 6) AS value FROM a JOIN p z ON z.user_id = a.user_id AND z.event_type = a.event_type AND z.ts = a.last JOIN p f ON f.user_id = a.user_id AND f.event_type = a.event_type AND f.ts = a.first WHERE a.last > a.step - INTERVAL 2 DAY""")
