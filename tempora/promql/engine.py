@@ -98,31 +98,39 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _summary(s: Column) -> Column:
-    """What windows are joined from: ends, number, sum, extremes, drops, changes and resets of sorted samples."""
-    first, last = F.element_at(s, 1), F.element_at(s, -1)
-    return F.struct(
-        first["t"].alias("t0"), first["v"].alias("v0"), last["t"].alias("t1"), last["v"].alias("v1"), F.size(s).alias("n"), _sum(_v(s)).alias("sum"),
-        F.array_min(F.transform(s, lambda x: _nan_as_null(x["v"]))).alias("low"), F.array_max(F.transform(s, lambda x: _nan_as_null(x["v"]))).alias("high"),
-        _pairs(s, lambda a, b: F.when(b["v"] < a["v"], a["v"]).otherwise(0.0)).alias("drop"),
-        _pairs(s, lambda a, b: _differ(a["v"], b["v"])).alias("changes"), _pairs(s, lambda a, b: F.when(b["v"] < a["v"], 1.0).otherwise(0.0)).alias("resets"),
-    )
+#: What a window's value is made of: of samples (t, v), and of parts of the window. These are plain aggregates.
+PLAIN = {
+    "t0": (lambda: F.min("t"), lambda: F.min("t0")), "t1": (lambda: F.max("t"), lambda: F.max("t1")),
+    "v0": (lambda: F.min_by("v", "t"), lambda: F.min_by("v0", "t0")), "v1": (lambda: F.max_by("v", "t"), lambda: F.max_by("v1", "t1")),
+    "n": (lambda: F.count(F.lit(1)), lambda: F.sum("n")), "sum": (lambda: F.sum("v"), lambda: F.sum("sum")),
+    "low": (lambda: F.min(_nan_as_null(F.col("v"))), lambda: F.min("low")), "high": (lambda: F.max(_nan_as_null(F.col("v"))), lambda: F.max("high")),
+}
+#: Sums over neighbours, of two values; they need the samples in order.
+NEIGHBOURS = {
+    "drop": lambda a, b: F.when(b < a, a).otherwise(0.0),
+    "changes": lambda a, b: F.when((a == b) | (F.isnan(a) & F.isnan(b)), 0.0).otherwise(1.0),
+    "resets": lambda a, b: F.when(b < a, 1.0).otherwise(0.0),
+}
 
 
-def _differ(a: Column, b: Column) -> Column:
-    return F.when((a == b) | (F.isnan(a) & F.isnan(b)), 0.0).otherwise(1.0)
+def _neighbours(s: Column, name: str, before: str, after: str) -> Column:
+    made = NEIGHBOURS[name]
+    return _pairs(s, lambda a, b: made(a[before], b[after]))
 
 
-def _joined_summaries(p: Column) -> Column:
+def _summary(s: Column, need: tuple[str, ...]) -> Column:
+    """The ends and number of sorted samples, and the wanted sums over neighbours."""
+    first, last = F.element_at(s, 1), F.element_at(s, -1)
+    sums = [_neighbours(s, n, "v", "v").alias(n) for n in need if n in NEIGHBOURS]
+    return F.struct(first["t"].alias("t0"), first["v"].alias("v0"), last["t"].alias("t1"), last["v"].alias("v1"), F.size(s).alias("n"), *sums)
+
+
+def _joined_summaries(p: Column, need: tuple[str, ...]) -> Column:
     """The summary of a window from those of its parts, in order of time."""
     first, last = F.element_at(p, 1), F.element_at(p, -1)
     total = lambda name: F.aggregate(p, F.lit(0.0), lambda a, x: a + x[name])
-    return F.struct(
-        first["t0"].alias("t0"), first["v0"].alias("v0"), last["t1"].alias("t1"), last["v1"].alias("v1"), F.aggregate(p, F.lit(0), lambda a, x: a + x["n"]).alias("n"), total("sum").alias("sum"),
-        F.array_min(F.transform(p, lambda x: x["low"])).alias("low"), F.array_max(F.transform(p, lambda x: x["high"])).alias("high"),
-        (total("drop") + _pairs(p, lambda a, b: F.when(b["v0"] < a["v1"], a["v1"]).otherwise(0.0))).alias("drop"),
-        (total("changes") + _pairs(p, lambda a, b: _differ(a["v1"], b["v0"]))).alias("changes"), (total("resets") + _pairs(p, lambda a, b: F.when(b["v0"] < a["v1"], 1.0).otherwise(0.0))).alias("resets"),
-    )
+    sums = [(total(n) + _neighbours(p, n, "v1", "v0")).alias(n) for n in need if n in NEIGHBOURS]
+    return F.struct(first["t0"].alias("t0"), first["v0"].alias("v0"), last["t1"].alias("t1"), last["v1"].alias("v1"), F.aggregate(p, F.lit(0), lambda a, x: a + x["n"]).alias("n"), *sums)
 
 
 def _extrapolated(q: Column, step: Column, range_us: int, counter: bool, per_second: bool) -> Column:
@@ -212,17 +220,18 @@ def _has_nan(s: Column) -> Column:
 
 #: Window functions that a summary is enough for, and those that need all samples; null means no result.
 FROM_SUMMARY = {
-    "avg_over_time": lambda q: q["sum"] / q["n"],
-    "sum_over_time": lambda q: q["sum"],
-    "count_over_time": lambda q: q["n"].cast("double"),
-    "last_over_time": lambda q: q["v1"],
-    "first_over_time": lambda q: q["v0"],
-    "present_over_time": lambda q: F.lit(1.0),
-    "min_over_time": lambda q: F.coalesce(q["low"], F.lit(NAN)),
-    "max_over_time": lambda q: F.coalesce(q["high"], F.lit(NAN)),
-    "changes": lambda q: q["changes"],
-    "resets": lambda q: q["resets"],
+    "avg_over_time": (("sum", "n"), lambda q: q["sum"] / q["n"]),
+    "sum_over_time": (("sum",), lambda q: q["sum"]),
+    "count_over_time": (("n",), lambda q: q["n"].cast("double")),
+    "last_over_time": (("v1",), lambda q: q["v1"]),
+    "first_over_time": (("v0",), lambda q: q["v0"]),
+    "present_over_time": (("n",), lambda q: F.lit(1.0)),
+    "min_over_time": (("low",), lambda q: F.coalesce(q["low"], F.lit(NAN))),
+    "max_over_time": (("high",), lambda q: F.coalesce(q["high"], F.lit(NAN))),
+    "changes": (("changes",), lambda q: q["changes"]),
+    "resets": (("resets",), lambda q: q["resets"]),
 }
+_ENDS = ("t0", "v0", "t1", "v1", "n")
 FROM_SAMPLES = {
     "stddev_over_time": lambda s: F.sqrt(_moments(s)),
     "stdvar_over_time": lambda s: _moments(s),
@@ -274,8 +283,9 @@ ARGUMENTS = {
     "clamp_max": (2, 2), "label_replace": (5, 5), "label_join": (3, 99), "sort": (1, 1), "sort_desc": (1, 1), "sort_by_label": (1, 99), "sort_by_label_desc": (1, 99), "histogram_quantile": (2, 2),
     "histogram_count": (1, 1), "histogram_sum": (1, 1), "histogram_avg": (1, 1), "histogram_stddev": (1, 1), "histogram_stdvar": (1, 1), "histogram_fraction": (3, 3),
 }
-#: Windows of at most so many steps are copied to each of them; longer ones only to the steps on which some window changes.
-FEW_STEPS = 64
+#: The samples of windows of at most FEWEST_STEPS are copied to each of these; those of longer ones are put into panes, which are copied
+#: to each step up to FEW_STEPS, and beyond only to the steps on which some window changes.
+FEWEST_STEPS, FEW_STEPS = 8, 64
 
 
 class Engine:
@@ -461,7 +471,7 @@ class Engine:
         rows = self._expanded(reached, grid).groupBy("sid", "step").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
         return samples.named(rows), after_us
 
-    def _windows(self, node, grid: Grid, summary: bool = False) -> tuple[DataFrame, int]:
+    def _windows(self, node, grid: Grid, need: tuple[str, ...] | None = None) -> tuple[DataFrame, int]:
         """(key, labels, a, z, s) and the length of the windows in microseconds: sorted samples (or their summary) of the windows that end on steps a to z."""
         if isinstance(node, Selector) and node.range is not None:
             if node.extended:
@@ -469,7 +479,7 @@ class Engine:
 
             def evaluate(n, g):
                 offset, reach = n.offset * 1000, n.range * 1000
-                return self._gathered(self._samples(n, g.start - offset - reach, g.end - offset), g, reach, offset, summary)
+                return self._gathered(self._samples(n, g.start - offset - reach, g.end - offset), g, reach, offset, need)
 
         elif isinstance(node, Subquery):
 
@@ -484,7 +494,7 @@ class Engine:
                     inner = self._bound(self._steps(inner_grid), inner).select(F.lit("").alias("key"), F.create_map().cast("map<string,string>").alias("labels"), "step", inner.alias("v"))
                 frame = inner.select(F.struct("key", F.map_entries("labels").alias("labels")).alias("sid"), F.col("step").alias("t"), "v")
                 named = lambda rows: rows.withColumns({"key": F.col("sid.key"), "labels": F.map_from_entries("sid.labels")}).drop("sid")
-                return self._gathered(Samples(frame, named), g, n.range * 1000, n.offset * 1000, summary)
+                return self._gathered(Samples(frame, named), g, n.range * 1000, n.offset * 1000, need)
 
         else:
             raise MetricError("a range vector is needed")
@@ -493,32 +503,51 @@ class Engine:
             return pinned.withColumn("a", ((F.col("step") - grid.start) / grid.step).cast("int")).withColumn("z", F.col("a")).drop("step"), node.range * 1000
         return evaluate(node, grid), node.range * 1000
 
-    def _gathered(self, samples: Samples, grid: Grid, reach_us: int, offset_us: int, summary: bool) -> DataFrame:
-        """(key, labels, a, z, s). Samples that come and go on the same steps are put together first; then each such pane goes to the steps of its windows, or, where those are many, only to the steps on which the series' window changes."""
+    def _gathered(self, samples: Samples, grid: Grid, reach_us: int, offset_us: int, need: tuple[str, ...] | None) -> DataFrame:
+        """(key, labels, a, z, s): sorted samples of the windows, or a struct of what is needed of them."""
         reached = self._reached(samples, grid, reach_us, offset_us)
-        s = F.array_sort(F.collect_list(F.struct("t", "v")))
-        panes = reached.groupBy("sid", "a", "z").agg(s.alias("s"))
-        if summary:
-            panes = panes.withColumn("s", _summary(F.col("s")))
-        at = F.col("s.t0") if summary else F.get("s", 0)["t"]
-        part = F.struct(at.alias("t"), "s")
-        if min(reach_us // grid.step, grid.count) <= FEW_STEPS:
-            spread = panes.withColumn("__c", F.explode(F.sequence("a", "z")))
-            until = F.col("__c")
-            rows = spread.groupBy("sid", "__c").agg(F.array_sort(F.collect_list(part)).alias("p")).withColumns({"a": F.col("__c"), "z": until})
-        else:
-            # numbered steps on which some pane comes or goes
-            cuts = panes.select("sid", F.explode(F.array(F.col("a"), F.col("z") + 1)).alias("c")).distinct()
-            in_order = Window.partitionBy("sid").orderBy("c")
-            cuts = cuts.withColumns({"i": F.row_number().over(in_order), "next": F.lead("c").over(in_order)})
-            number = lambda c, i: cuts.select("sid", F.col("c").alias(c), F.col("i").alias(i))
-            spread = panes.withColumn("__z", F.col("z") + 1).join(number("a", "__i"), ["sid", "a"]).join(number("__z", "__j"), ["sid", "__z"])
-            spread = spread.select("sid", "s", F.explode(F.sequence(F.col("__i"), F.col("__j") - 1)).alias("i"))
-            rows = spread.groupBy("sid", "i").agg(F.array_sort(F.collect_list(part)).alias("p"))
-            rows = rows.join(cuts, ["sid", "i"]).select("sid", F.col("c").alias("a"), (F.col("next") - 1).alias("z"), "p")
-        parts = F.transform("p", lambda x: x["s"])
-        joined = F.transform(F.array(parts), _joined_summaries)[0] if summary else F.flatten(parts)
-        return samples.named(rows.select("sid", "a", "z", joined.alias("s")))
+        copies = min(reach_us // grid.step, grid.count)
+        plain = need is not None and set(need) <= set(PLAIN)
+        kept = tuple(dict.fromkeys([*(need or ()), "t0", "t1"]))
+
+        def part(first: bool) -> Column:  # of samples, or of what was made of them
+            if plain:
+                return F.struct(*(PLAIN[n][0 if first else 1]().alias(n) for n in (kept if first else need)))
+            if first:
+                return F.array_sort(F.collect_list(F.struct("t", "v")))
+            at = F.col("s.t0") if need else F.get("s", 0)["t"]
+            return F.array_sort(F.collect_list(F.struct(at.alias("t"), "s")))
+
+        def whole(rows: DataFrame, first: bool) -> DataFrame:
+            if plain:
+                return rows
+            if first:
+                return rows.withColumn("s", _summary(F.col("s"), need)) if need else rows
+            parts = F.transform("s", lambda x: x["s"])
+            return rows.withColumn("s", F.transform(F.array(parts), lambda p: _joined_summaries(p, need))[0] if need else F.flatten(parts))
+
+        def to_steps(rows: DataFrame, first: bool) -> DataFrame:
+            spread = rows.withColumn("__c", F.explode(F.sequence("a", "z"))).drop("a", "z")
+            done = whole(spread.groupBy("sid", "__c").agg(part(first).alias("s")), first)
+            return done.select("sid", F.col("__c").alias("a"), F.col("__c").alias("z"), "s")
+
+        if copies <= FEWEST_STEPS:
+            return samples.named(to_steps(reached, True))
+        # samples that come and go on the same steps make a pane
+        panes = whole(reached.groupBy("sid", "a", "z").agg(part(True).alias("s")), True)
+        if plain:
+            panes = panes.select("sid", "a", "z", "s.*")
+        if copies <= FEW_STEPS:
+            return samples.named(to_steps(panes, False))
+        # numbered steps on which some pane comes or goes
+        cuts = panes.select("sid", F.explode(F.array(F.col("a"), F.col("z") + 1)).alias("c")).distinct()
+        in_order = Window.partitionBy("sid").orderBy("c")
+        cuts = cuts.withColumns({"i": F.row_number().over(in_order), "next": F.lead("c").over(in_order)})
+        number = lambda c, i: cuts.select("sid", F.col("c").alias(c), F.col("i").alias(i))
+        spread = panes.withColumn("__z", F.col("z") + 1).join(number("a", "__i"), ["sid", "a"]).join(number("__z", "__j"), ["sid", "__z"])
+        spread = spread.withColumn("i", F.explode(F.sequence(F.col("__i"), F.col("__j") - 1))).drop("a", "z", "__z", "__i", "__j")
+        rows = whole(spread.groupBy("sid", "i").agg(part(False).alias("s")), False)
+        return samples.named(rows.join(cuts, ["sid", "i"]).select("sid", F.col("c").alias("a"), (F.col("next") - 1).alias("z"), "s"))
 
     # -- evaluation --
 
@@ -678,12 +707,13 @@ class Engine:
         if name in ("rate", "increase", "delta", "changes", "resets") and isinstance(arguments[0], Selector) and arguments[0].extended and arguments[0].range is not None:
             return self._extended_call(name, arguments[0], grid)
         if name in ("rate", "increase", "delta"):
-            rows, length = self._windows(arguments[0], grid, summary=True)
+            rows, length = self._windows(arguments[0], grid, (*_ENDS, "drop") if name != "delta" else _ENDS)
             made = _extrapolated(F.col("s"), F.col("step"), length, name != "delta", name == "rate")
             return self._mapped(self._expanded(rows, grid), made)
         if name in FROM_SUMMARY or name in FROM_SAMPLES:
-            rows, _ = self._windows(arguments[0], grid, summary=name in FROM_SUMMARY)
-            rows = rows.withColumn("v", (FROM_SUMMARY.get(name) or FROM_SAMPLES[name])(F.col("s"))).where("v is not null").drop("s")
+            need, made = FROM_SUMMARY.get(name) or (None, FROM_SAMPLES[name])
+            rows, _ = self._windows(arguments[0], grid, need)
+            rows = rows.withColumn("v", made(F.col("s"))).where("v is not null").drop("s")
             rows = self._expanded(rows, grid).select("key", "labels", "step", "v")
             return rows if name in ("last_over_time", "first_over_time") else self._plain(rows)
         if name == "predict_linear":
@@ -703,7 +733,7 @@ class Engine:
             rows, _ = self._windows(arguments[0], grid)
             return self._mapped(self._expanded(rows, grid), _smoothed(F.col("s"), *(self._scalar(a, grid) for a in arguments[1:])))
         if name in ("absent", "absent_over_time"):
-            rows = self._expanded(self._windows(arguments[0], grid, summary=True)[0].select("a", "z").distinct(), grid) if name == "absent_over_time" else self._vector(arguments[0], grid)
+            rows = self._expanded(self._windows(arguments[0], grid, ("n",))[0].select("a", "z").distinct(), grid) if name == "absent_over_time" else self._vector(arguments[0], grid)
             selector = arguments[0]
             known = [x for label, o, value in getattr(selector, "matchers", ()) if o == "=" for x in (F.lit(label), F.lit(value))]
             labels = F.create_map(*known) if known else F.create_map().cast("map<string,string>")
@@ -769,8 +799,7 @@ class Engine:
         if name in ("changes", "resets"):
             after = F.size(F.filter(s, lambda x: x["t"] <= end - length))
             kept = F.slice(s, F.greatest(after, F.lit(1)), F.size(s))
-            count = _pairs(kept, (lambda a, b: _differ(a["v"], b["v"])) if name == "changes" else (lambda a, b: F.when(b["v"] < a["v"], 1.0).otherwise(0.0)))
-            return self._mapped(rows, F.when(F.element_at(s, -1)["t"] > end - length, count))
+            return self._mapped(rows, F.when(F.element_at(s, -1)["t"] > end - length, _neighbours(kept, name, "v", "v")))
         made = _edge_to_edge(s, end - length, end, smooth, name != "delta")
         return self._mapped(rows, made / (length / 1e6) if name == "rate" else made)
 
