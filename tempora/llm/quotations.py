@@ -59,10 +59,21 @@ def _units(bodies: Column, part: int) -> Column:
     return F.transform(texts, lambda t: F.struct(F.lit(part).alias("part"), F.md5(t).alias("hash"), F.size(F.split(t, " ")).alias("words")))
 
 
+def _paragraphs(whole: Column) -> Column:
+    return F.split(whole, r"\n[\x20\x09-\x0D]*\n", -1)
+
+
 def _parts(lines: Column) -> Column:
     """The units of some lines: all of them, their paragraphs, and each one."""
     whole = F.array_join(lines, "\n")
-    return F.concat(_units(F.array(whole), 0), _units(F.split(whole, r"\n[\x20\x09-\x0D]*\n", -1), 1), _units(lines, 2))
+    return F.concat(_units(F.array(whole), 0), _units(_paragraphs(whole), 1), _units(lines, 2))
+
+
+def _hashes(clean: Column, own: Column) -> Column:
+    """Hashes of a message's own text and of the units of its runs; texts that are the same are normalised once."""
+    whole = F.transform(own, lambda p: F.array_join(p["lines"], "\n"))
+    texts = F.array_distinct(F.concat(F.array(clean), whole, F.flatten(F.transform(whole, _paragraphs)), F.flatten(F.transform(own, lambda p: p["lines"]))))
+    return F.array_distinct(F.transform(F.filter(F.transform(texts, _normal), lambda t: t != ""), lambda t: F.md5(t)))
 
 
 def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -74,8 +85,7 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     own_lines = F.flatten(F.transform(own, lambda p: p["lines"]))
     clean = F.trim(F.regexp_replace(F.array_join(own_lines, "\n"), r"^\n+|\n+$", ""))
     rows = rows.withColumns({"clean_text": clean, "n_quotes": F.size(quoted), "max_level": F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)), "__quoted": quoted})
-    hashes = F.concat(_units(F.array("clean_text"), 0), F.flatten(F.transform(own, lambda p: _parts(p["lines"]))))
-    rows = rows.withColumn("__own", F.array_distinct(F.transform(hashes, lambda u: u["hash"]))).withColumn("__row", F.monotonically_increasing_id())
+    rows = rows.withColumn("__own", _hashes(F.col("clean_text"), own)).withColumn("__row", F.monotonically_increasing_id())
     rows = materialize(rows.drop("passages", "text"))  # parsed once
     originals = rows.select("conv_id", "turn", F.explode("__own").alias("hash")).where("turn is not null")
     inside = materialize(originals.groupBy("hash", "conv_id").agg(F.min("turn").alias("in_turn")))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 
@@ -220,6 +221,57 @@ def test_jaccard_join(docs, empty):
     assert near_duplicates.link(empty).count() == 0
 
 
+def test_jaccard_join_recall(spark):
+    """All pairs of the documents of sf0.01 compared plainly: no link at or over the threshold is lost, none is added."""
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    frame = spark.read.parquet(folder)
+    rows = frame.select("doc_id", "text").collect()
+    postings, sets = collections.defaultdict(list), []
+    for r in rows:
+        w = WORDS.findall(r.text or "")
+        sets.append({hash(tuple(w[j : j + 5])) for j in range(len(w) - 4)} if len(w) >= 5 else {hash(tuple(w))} if w else set())
+    links, up = [0] * len(rows), list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for j, own in enumerate(sets):
+        common = collections.Counter(i for x in own for i in postings[x])
+        for i, n in common.items():
+            if n >= 0.8 * (len(own) + len(sets[i]) - n):
+                links[i] += 1
+                links[j] += 1
+                up[max(top(i), top(j))] = min(top(i), top(j))
+        for x in own:
+            postings[x].append(j)
+    ids = [r.doc_id for r in rows]
+    groups = collections.defaultdict(list)
+    for i, d in enumerate(ids):
+        groups[top(i)].append(d)
+    want = {d: (min(groups[top(i)]), links[i]) for i, d in enumerate(ids)}
+    assert sum(links) > 100
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.link(frame).collect()} == want
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A group of several blocks, and a chain whose ends are not alike."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    base = [f"v{i}" for i in range(300)]
+    texts = [" ".join(f"z{k}" if i == 100 else w for i, w in enumerate(base)) for k in range(60)]
+    chain = [" ".join(f"c{i}" for i in range(k * 12, k * 12 + 200)) for k in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts + chain)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.link(frame).collect()}
+    assert all(got[i] == (0, 59) for i in range(60))
+    for k in range(20):
+        own = set(range(k * 12, k * 12 + 196))
+        n = sum(1 for m in range(20) if m != k and len(own & set(range(m * 12, m * 12 + 196))) >= 0.8 * len(own | set(range(m * 12, m * 12 + 196))))
+        assert got[60 + k] == (60, n)
+
+
 def test_keep_one(docs):
     kept = near_duplicates.keep_one(docs)
     ids = [r.doc_id for r in kept.collect()]
