@@ -48,3 +48,22 @@ def test_matches_duckdb(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
+NO_SQL = sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL))
+
+
+@pytest.mark.parametrize("name", NO_SQL)
+def test_rows_do_not_hang_on_the_layout(spark, name):
+    """A query without SQL gives rows, and the same ones however its tables are dealt out."""
+
+    def rows():
+        return sorted(str([round(x, 5) if isinstance(x, float) else x for x in r]) for r in catalog.QUERIES[name](spark, SF).collect())
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    first = rows()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert rows() == first and first
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
