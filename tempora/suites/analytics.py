@@ -87,14 +87,13 @@ def gap_detection(spark, sf_dir):
 
 
 @query(
-    """WITH h AS (SELECT event_type, date_trunc('day', ts) AS d, avg(value) AS v FROM events WHERE day(ts) % 3 = 1 GROUP BY 1, 2), p AS (SELECT *, lead(d) OVER w AS d2, lead(v) OVER w AS v2 FROM h WINDOW w AS (PARTITION BY event_type ORDER BY d)),
+    """WITH h AS (SELECT user_id, date_trunc('day', ts) AS d, avg(value) AS v FROM events GROUP BY 1, 2), p AS (SELECT *, lead(d) OVER w AS d2, lead(v) OVER w AS v2 FROM h WINDOW w AS (PARTITION BY user_id ORDER BY d)),
     x AS (SELECT *, unnest(generate_series(0, CAST(greatest(ceil(coalesce(date_diff('hour', d, d2), 0) / 24.0) - 1, 0) AS BIGINT))) AS k FROM p)
-    SELECT event_type, d + to_days(CAST(k AS INTEGER)) AS ts, round(CASE WHEN k = 0 THEN v ELSE v + (v2 - v) * (k * 24.0 / date_diff('hour', d, d2)) END, 6) AS value, k > 0 AS filled FROM x"""
+    SELECT user_id, d + to_days(CAST(k AS INTEGER)) AS ts, round(CASE WHEN k = 0 THEN v ELSE v + (v2 - v) * (k * 24.0 / date_diff('hour', d, d2)) END, 6) AS value, k > 0 AS filled FROM x"""
 )
 def interpolate_linear(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where(F.dayofmonth("ts") % 3 == 1)
-    daily = events.groupBy("event_type", time_bucket("1d", F.col("ts")).alias("ts")).agg(F.avg("value").alias("value"))
-    return preprocess.interpolate(daily, ["event_type"], "ts", "value", 24 * _HOUR).withColumn("value", F.round("value", 6))
+    daily = table(spark, sf_dir, "events").groupBy("user_id", time_bucket("1d", F.col("ts")).alias("ts")).agg(F.avg("value").alias("value"))
+    return preprocess.interpolate(daily, ["user_id"], "ts", "value", 24 * _HOUR).withColumn("value", F.round("value", 6))
 
 
 @query(
