@@ -207,12 +207,16 @@ def arima(y: np.ndarray, horizon: int, order=(1, 1, 1), seasonal=(0, 0, 0), peri
 
     def residuals(v):
         ar, ma = unpack(v)
-        e = np.zeros(len(x))
-        for t in range(len(ar), len(x)):
-            past = float(ar @ x[t - len(ar) : t][::-1]) if len(ar) else 0.0
-            k = min(len(ma), t)
-            e[t] = x[t] - past - (float(ma[:k] @ e[t - k : t][::-1]) if k else 0.0)
-        return e[len(ar) :]
+        known = np.convolve(x, np.concatenate([[1], -ar]), "valid")
+        lags = [(k, c) for k, c in enumerate(ma.tolist(), 1) if c]
+        if not lags:
+            return known
+        e = [0.0] * len(ma)
+        for value in known.tolist():
+            for k, c in lags:
+                value -= c * e[-k]
+            e.append(value)
+        return np.array(e[len(ma) :])
 
     n = p + sp + q + sq
     best = nelder_mead(lambda v: float(np.mean(residuals(v) ** 2)), np.zeros(n), steps=200 * max(1, n)) if n else np.zeros(0)
@@ -263,38 +267,68 @@ def auto_arima(y: np.ndarray, horizon: int, most: int = 2) -> Forecast:
     return min(fits, key=lambda f: f.parameters["aicc"])
 
 
-MODELS = {"ses": ses, "holt": holt, "damped_holt": lambda y, h: holt(y, h, True), "holt_winters": holt_winters, "linear": linear, "arima": arima, "auto_arima": auto_arima}
+MODELS = {"ses": ses, "holt": holt, "damped_holt": lambda y, h, **options: holt(y, h, True, **options), "holt_winters": holt_winters, "linear": linear, "arima": arima, "auto_arima": auto_arima}
 
 
-def candidates(n: int) -> list[str]:
-    return ["ses"] if n < 10 else ["ses", "holt", "linear"] if n < 30 else ["ses", "holt", "damped_holt", "linear", "holt_winters", "arima"]
+def seasonal_difference(y: np.ndarray, period: int, strong: float = 0.64) -> int:
+    """1 where the seasonal part of a decomposition is strong beside what remains, else 0."""
+    _, seasonal, rest = stl(y, period)
+    whole = float(np.var(seasonal + rest))
+    return int(whole > 0 and 1 - float(np.var(rest)) / whole > strong)
 
 
-def cross_validate(y: np.ndarray, model: str, horizon: int, folds: int = 3, sliding: int | None = None) -> float:
-    """Mean RMSE over rolling origins, with expanding or sliding training."""
+def candidates(y: np.ndarray, first: int, period: int | None) -> dict[str, tuple[str, dict]]:
+    """Label to (model, options) of what a series is long enough for; ``first``: the shortest training window, in which the ARIMA order is searched."""
+    made: dict[str, tuple[str, dict]] = {"ses": ("ses", {})}
+    if len(y) >= 10:
+        made |= {name: (name, {}) for name in ("holt", "damped_holt", "linear")}
+    if first >= 30:
+        p, d, q = auto_arima(y[:first], 1).parameters["order"]
+        made[f"arima({p},{d},{q})"] = ("arima", {"order": (p, d, q)})
+        if period:
+            sd = seasonal_difference(y, period)
+            for sp, sq in ((1, 0), (0, 1)):
+                if first >= max(p, q) + period + 2 * (d + sd * period) + 10:
+                    made[f"arima({p},{d},{q})({sp},{sd},{sq})[{period}]"] = ("arima", {"order": (p, d, q), "seasonal": (sp, sd, sq), "period": period})
+    if period and first >= 2 * period:
+        made[f"holt_winters[{period}]"] = ("holt_winters", {"period": period})
+        if (y > 0).all():
+            made[f"multiplicative holt_winters[{period}]"] = ("holt_winters", {"period": period, "multiplicative": True})
+    return made
+
+
+def cross_validate(y: np.ndarray, model: str, horizon: int, folds: int = 3, sliding: int | None = None, first: int = 4, **options) -> float:
+    """Mean RMSE over the last rolling origins, with expanding or sliding training of at least ``first`` values."""
     errors = []
     for i in range(folds, 0, -1):
         cut = len(y) - i * horizon
-        if cut < 4:
+        if cut < first:
             continue
         train = y[max(0, cut - sliding) : cut] if sliding else y[:cut]
-        errors.append(math.sqrt(float(np.mean((MODELS[model](train, horizon).mean - y[cut : cut + horizon]) ** 2))))
+        errors.append(math.sqrt(float(np.mean((MODELS[model](train, horizon, **options).mean - y[cut : cut + horizon]) ** 2))))
     return float(np.mean(errors)) if errors else math.inf
 
 
-def auto_forecast(y: np.ndarray, horizon: int) -> Forecast:
-    """The model of the smallest rolling-origin RMSE."""
+def auto_forecast(y: np.ndarray, horizon: int, folds: int = 3, max_period: int = 288) -> Forecast:
+    """The candidate of the smallest rolling-origin RMSE, fitted to the whole series."""
     if len(y) < 8:
         raise ValueError("eight values are needed")
+    ahead = max(1, min(horizon, len(y) // 5))
+    first = min(max(len(y) - ahead * folds, len(y) // 2), len(y) - ahead)
+    tried = candidates(y, first, detect_period(y, max_period))
     scores = {}
-    for name in candidates(len(y)):
+    for label, (model, options) in tried.items():
         try:
-            scores[name] = cross_validate(y, name, max(1, min(horizon, len(y) // 5)))
+            scores[label] = cross_validate(y, model, ahead, folds, first=first, **options)
         except ValueError:
             continue
+    scores = {label: score for label, score in scores.items() if math.isfinite(score)}
+    if not scores:
+        raise ValueError("no model could be scored")
     best = min(scores, key=scores.get)
-    found = MODELS[best](y, horizon)
-    found.parameters |= {"selected": best, "scores": scores}
+    model, options = tried[best]
+    found = MODELS[model](y, horizon, **options)
+    found.parameters |= {"selected": model, "label": best, "scores": scores}
     return found
 
 
@@ -358,13 +392,13 @@ def ljung_box(residuals: np.ndarray, lags: int) -> float:
 # ---- decomposition ----
 
 
-def detect_period(y: np.ndarray) -> int | None:
-    """The lag of the highest local maximum above 0.3 of the detrended autocorrelation; ties to the shorter."""
+def detect_period(y: np.ndarray, most: int | None = None) -> int | None:
+    """The lag, up to ``most``, of the highest local maximum above 0.3 of the detrended autocorrelation; ties to the shorter."""
     if len(y) < 8:
         return None
     x = np.arange(len(y))
     slope, intercept = np.polyfit(x, y, 1)
-    r = acf(y - slope * x - intercept, len(y) // 2)
+    r = acf(y - slope * x - intercept, min(len(y) // 2, (most or len(y)) + 1))
     peaks = [k for k in range(2, len(r) - 1) if r[k] > 0.3 and r[k] >= r[k - 1] and r[k] >= r[k + 1]]
     return min(peaks, key=lambda k: (-round(r[k], 9), k)) if peaks else None
 

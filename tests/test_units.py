@@ -416,3 +416,34 @@ def test_bucket_arguments_in_sql(spark):
     with pytest.raises(ValueError):
         session.sql("SELECT time_bucket('1d', ts, 'Mars/Base') FROM m")
     assert session.sql("SELECT 'time_bucket(''1d'', ts)' AS t, 'ts > 1704067200000000000' AS u FROM m").first().u == "ts > 1704067200000000000"
+
+
+def test_auto_forecast_candidates():
+    rng = np.random.default_rng(3)
+    t = np.arange(240.0)
+    growing = (50 + 0.5 * t) * (1 + 0.3 * np.sin(2 * np.pi * t / 12)) + rng.normal(0, 0.3, 240)
+    found = K.auto_forecast(growing, 12)
+    assert found.parameters["label"] == "multiplicative holt_winters[12]" and found.parameters["selected"] == "holt_winters"
+    seasonal = np.zeros(300)
+    noise = rng.normal(size=300)
+    for i in range(12, 300):
+        seasonal[i] = 0.9 * seasonal[i - 12] + noise[i]
+    found = K.auto_forecast(seasonal, 12).parameters
+    assert {k.split("(")[0] for k in found["scores"]} == {"ses", "holt", "damped_holt", "linear", "arima", "holt_winters[12]"}
+    assert sum(k.endswith("[12]") and k.startswith("arima") for k in found["scores"]) == 2 and found["label"].endswith("[12]")
+    # too short for a seasonal order, a window of thirty, two seasons, ten values
+    assert set(K.candidates(growing[:20], 12, None)) == {"ses", "holt", "damped_holt", "linear"}
+    assert set(K.candidates(growing[:9], 5, None)) == {"ses"}
+    assert K.seasonal_difference(growing, 12) == 1 and K.seasonal_difference(rng.normal(size=120), 12) == 0
+    # the order is searched in the first window only
+    changed = np.concatenate([growing[:204], rng.normal(size=36)])
+    assert [k for k in K.candidates(changed, 204, None) if "arima" in k] == [k for k in K.candidates(growing, 204, None) if "arima" in k]
+
+
+def test_arima_residuals_match_a_plain_recursion():
+    y = np.cumsum(np.random.default_rng(5).normal(size=120))
+    found = K.arima(y, 1, (2, 1, 1)).parameters
+    x, e = np.diff(y), np.zeros(119)
+    for i in range(2, 119):
+        e[i] = x[i] - found["ar"][0] * x[i - 1] - found["ar"][1] * x[i - 2] - found["ma"][0] * e[i - 1]
+    assert abs(np.mean(e[2:] ** 2) - found["sigma2"]) < 1e-9
