@@ -64,6 +64,7 @@ class Query:
         return replace(self, bucket=(width, function, tz))
 
     def over(self, function: str, value: str = "value", **options) -> Query:
+        """A window function by time. ``rank`` and ``dense_rank`` number the runs of equal values (or of equal ``order``) that follow each other in time; nulls equal nulls."""
         return replace(self, window=(function, value, options))
 
     def limit(self, n: int) -> Query:
@@ -132,10 +133,15 @@ class Query:
             made = {"range_moving_average": F.avg(v), "range_sum": F.sum(v), "range_count": F.count(v)}[function]
             made = F.when(F.count(v).over(frame) > 0, made.over(frame))
             return rows.withColumn(function, made.cast("double"))
+        if function in ("rank", "dense_rank"):
+            ranked = F.col(options.get("order", value))
+            begins = (F.row_number().over(over) == 1) | ~ranked.eqNullSafe(F.lag(ranked).over(over))
+            so_far = over.rowsBetween(Window.unboundedPreceding, 0)
+            begun = rows.withColumns({"__row": F.row_number().over(over), "__begins": begins})
+            made = F.max(F.when(F.col("__begins"), F.col("__row"))) if function == "rank" else F.count_if("__begins")
+            return begun.withColumn(function, made.over(so_far).cast("double")).drop("__row", "__begins")
         made = {
             "row_number": lambda: F.row_number().over(over),
-            "rank": lambda: F.rank().over(Window.partitionBy(*tags).orderBy(options.get("order", self.time))),
-            "dense_rank": lambda: F.dense_rank().over(Window.partitionBy(*tags).orderBy(options.get("order", self.time))),
             "lead": lambda: W.lead_or(v, over, options.get("offset", 1), options.get("default")),
             "lag": lambda: W.lag_or(v, over, options.get("offset", 1), options.get("default")),
             "delta": lambda: W.delta(v, over),

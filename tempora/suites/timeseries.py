@@ -168,6 +168,22 @@ def native_range_frames(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", _r(F.avg("value").over(frame)).alias("mean"), F.round(F.sum("value").over(frame), 4).alias("total"), F.count("value").over(frame).alias("n"))
 
 
+def _ranked(function: str, sql: str):
+    def run(spark, sf_dir):
+        q = Query(table(spark, sf_dir, "events"), time="event_id", tags=["user_id"], fields=["event_type"]).over(function, "event_type")
+        return q.run(spark).select("event_id", F.col(function).alias("result"))
+
+    QUERIES[f"native_{function}"] = run
+    ORACLE_SQL[f"native_{function}"] = f"""
+        WITH steps AS (SELECT user_id, event_id, event_type, row_number() OVER w AS rn, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+        runs AS (SELECT *, CASE WHEN rn = 1 OR event_type IS DISTINCT FROM before THEN 1 ELSE 0 END AS begins FROM steps)
+        SELECT event_id, CAST({sql} OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS result FROM runs"""
+
+
+for _fn, _sql in (("rank", "max(CASE WHEN begins = 1 THEN rn END)"), ("dense_rank", "sum(begins)")):
+    _ranked(_fn, _sql)
+
+
 @query(
     f"""SELECT event_type, round(corr(value, partner), 5) AS r FROM (SELECT event_type, value, lag(value, 3) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS partner FROM events) GROUP BY 1"""
 )

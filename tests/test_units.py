@@ -447,3 +447,13 @@ def test_arima_residuals_match_a_plain_recursion():
     for i in range(2, 119):
         e[i] = x[i] - found["ar"][0] * x[i - 1] - found["ar"][1] * x[i - 2] - found["ma"][0] * e[i - 1]
     assert abs(np.mean(e[2:] ** 2) - found["sigma2"]) < 1e-9
+
+
+def test_ranks_number_runs_in_time_order(spark):
+    at = lambda i: datetime(2024, 1, 1, 0, i)
+    values = [10.0, 20.0, 20.0, 25.0, 20.0, None, None]
+    frame = spark.createDataFrame([(k, at(i), v) for k in ("a", "b") for i, v in enumerate(values)], "k string, ts timestamp_ntz, value double").repartition(3)
+    want = {"rank": [1, 2, 2, 4, 5, 6, 6], "dense_rank": [1, 2, 2, 3, 4, 5, 5]}
+    for function, numbers in want.items():
+        got = Query(frame, "ts", ["k"], ["value"]).over(function).run(spark).orderBy("k", "ts").collect()
+        assert [r[function] for r in got] == [*map(float, numbers)] * 2
