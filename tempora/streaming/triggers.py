@@ -105,24 +105,35 @@ class Registry:
         return self.triggers[name]
 
 
+def _kept_history(name: str, n: int) -> Column:
+    """What ``stateful.with_history`` keeps of a stream."""
+    return F.col("__history")[f"{name}:{n}"]
+
+
+def histories(text: str) -> list[tuple[str, int]]:
+    """The (field, n) whose last n values a condition reads."""
+    found = [m.groupdict() for part in _split(text.strip(), "or") for term in _split(part, "and") if (m := _TERM.fullmatch(term))]
+    return sorted({(g["rfield"], int(g["window"])) for g in found if g["rfield"]} | {(g["cfield"], int(g["long"])) for g in found if g["cfield"]})
+
+
 def _history(name: str, n: int) -> Column:
     """The last n values of a field in its series, oldest first."""
     over = Window.partitionBy("__series").orderBy("seq").rowsBetween(-(n - 1), 0)
     return F.collect_list(F.col("fields")[name]).over(over)
 
 
-def _term(found: re.Match) -> Column:
+def _term(found: re.Match, history) -> Column:
     g = found.groupdict()
     value = lambda name: F.col("fields")[name]
     if g["tag"]:
         hit = F.coalesce(F.col("tags")[g["tag"]] == g["text"], F.lit(False))
         return ~hit if bool(g["not"]) != (g["tagop"] == "!=") else hit
     if g["rfield"]:
-        s = _history(g["rfield"], int(g["window"]))
+        s = history(g["rfield"], int(g["window"]))
         old, new = F.get(s, 0), F.try_element_at(s, F.lit(-1))
         return F.coalesce((F.size(s) > 1) & (old != 0) & (F.abs(new - old) / F.abs(old) * 100 > float(g["pct"])), F.lit(False))
     if g["cfield"]:
-        s = _history(g["cfield"], int(g["long"]))
+        s = history(g["cfield"], int(g["long"]))
         mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
         short, long = mean(F.slice(s, -F.least(F.size(s), F.lit(int(g["short"]))), int(g["short"]))), mean(s)
         return (F.size(s) >= int(g["long"])) & ((short > long) if g["way"].lower() == "above" else (short < long))
@@ -137,7 +148,7 @@ def _term(found: re.Match) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def condition_of(text: str) -> Column:
+def condition_of(text: str, history=_history) -> Column:
     """A condition of terms joined by AND and OR (AND binds tighter); a missing field is false."""
     ors = []
     for part in _split(text.strip(), "or"):
@@ -146,7 +157,7 @@ def condition_of(text: str) -> Column:
             found = _TERM.fullmatch(term)
             if not found:
                 raise TriggerProblem(f"not a condition: {term!r}")
-            made = _term(found)
+            made = _term(found, history)
             ands = made if ands is None else ands & made
         ors.append(ands)
     out = ors[0]
@@ -167,11 +178,16 @@ def severity(value: Column, low: float, high: float) -> Column:
 
 
 def evaluate(events: DataFrame, trigger: Trigger) -> DataFrame:
-    """A batch's firings before the cooldown: trigger, series, seq, event_timestamp, fields."""
+    """Firings before the cooldown, of a batch or a stream: trigger, series, seq, event_timestamp, fields."""
+    from tempora.streaming.stateful import with_history
+
     own = subscribe(events, [trigger.measurement], kinds=["point_written"]).withColumn("__series", series_key())
     if not trigger.enabled:
         own = own.where(F.lit(False))
-    fired = own.withColumn("__hit", condition_of(trigger.condition)).where("__hit")
+    wanted = histories(trigger.condition) if own.isStreaming else []
+    if wanted:
+        own = with_history(own, wanted)
+    fired = own.withColumn("__hit", condition_of(trigger.condition, _kept_history if wanted else _history)).where("__hit")
     return fired.select(F.lit(trigger.name).alias("trigger"), F.col("__series").alias("series"), "seq", "event_timestamp", "fields")
 
 
