@@ -38,7 +38,7 @@ def downsample_events(spark, sf_dir):
 def _load() -> None:
     from importlib import import_module
 
-    for suite in ("timeseries", "relational", "analytics", "promql", "dialect"):
+    for suite in ("timeseries", "relational", "analytics", "promql", "dialect", "administration"):
         import_module(f"tempora.suites.{suite}")
 
 

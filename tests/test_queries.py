@@ -45,9 +45,6 @@ def test_matches_duckdb(spark, db, name):
             assert x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-4, abs_tol=2e-4)), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
 NO_SQL = sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL))
 
 
