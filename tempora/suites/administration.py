@@ -33,7 +33,7 @@ def delete_report(spark, sf_dir):
     return deletion.report(table(spark, sf_dir, "events"), _DELETE, ["user_id", "event_type"], "ts")
 
 
-@query("SELECT count(*) AS n, sum(event_id) AS ids FROM events")
+@query("SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
 def drop_restore(spark, sf_dir):
     shelf = deletion.Shelf()
     shelf.add("events", table(spark, sf_dir, "events"))
@@ -107,7 +107,7 @@ def tracked_accuracy(spark, sf_dir):
     return lifecycle.tracked_accuracy(pairs, ["event_type"], ["ts", "event_id"], "value", "f", 20).select("event_id", F.round("mae", 5).alias("mae"), "stale")
 
 
-@query("SELECT event_type, sum(CAST(user_id % 2 = 0 AS INTEGER)) AS true_positives, sum(CAST(user_id % 2 <> 0 AS INTEGER)) AS false_positives, round(avg(CAST(user_id % 2 = 0 AS INTEGER)), 8) AS precision FROM events WHERE value > 90 AND user_id % 5 <> 0 GROUP BY 1")
+@query("SELECT event_type, count(*) FILTER (WHERE user_id % 2 = 0) AS true_positives, count(*) FILTER (WHERE user_id % 2 <> 0) AS false_positives, round(avg(CAST(user_id % 2 = 0 AS INTEGER)), 8) AS precision FROM events WHERE value > 90 AND user_id % 5 <> 0 GROUP BY 1")
 def feedback_precision(spark, sf_dir):
     """Values over 90 as verdicts; users stand for judgements: every fifth gave none, even ones confirm."""
     judged = table(spark, sf_dir, "events").withColumn("hit", F.coalesce(F.col("value") > 90, F.lit(False))).withColumn("confirmed", F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 2 == 0))
