@@ -93,7 +93,7 @@ _prom("promql_irate", "irate(events[3d])", ["event_type", "user_id"], f"{_NEWEST
 _prom("promql_idelta", "idelta(events[3d])", ["event_type", "user_id"], f"{_NEWEST} SELECT {_LABELS}, round(value - pv, 6) AS value FROM z WHERE back = 1 AND pv IS NOT NULL")
 _GAUGE = _EXTRAPOLATED.replace(" + sum(CASE WHEN value < pv THEN pv ELSE 0 END)", "")
 _prom("promql_delta", "delta(events[3d])", ["event_type", "user_id"], f"{_RESETS} {_GAUGE} SELECT {_LABELS}, round(change * ((span + b1 + e1) / span), 4) AS value FROM f", 4)
-_prom("promql_unary", "1 + -(2 * last_over_time(events[2d])) ^ 2 % 7", ["event_type", "user_id"], f"{_LAST} SELECT {_LABELS}, round(1 - (2 * v) ** 2 % 7, 3) AS value FROM l", 3)
+_prom("promql_unary", "10 + -(2 * last_over_time(events[2d])) ^ 2 % 7", ["event_type", "user_id"], f"{_LAST} SELECT {_LABELS}, round(10 - (2 * v) ** 2 % 7, 3) AS value FROM l", 3)
 _prom("promql_trigonometry", "sin(last_over_time(events[2d])) + atan(last_over_time(events[2d])) * pi() + deg(rad(last_over_time(events[2d])))", ["event_type", "user_id"], f"{_LAST} SELECT {_LABELS}, round(sin(v) + atan(v) * pi() + v, 5) AS value FROM l", 5)
 _prom("promql_rounding", "ceil(last_over_time(events[2d])) + floor(last_over_time(events[2d])) * 1000 + sgn(last_over_time(events[2d]) - 50) * 0.25 + abs(last_over_time(events[2d]) - 50)", ["event_type", "user_id"], f"{_LAST} SELECT {_LABELS}, round(ceil(v) + floor(v) * 1000 + sign(v - 50) * 0.25 + abs(v - 50), 5) AS value FROM l", 5)
 _prom("promql_logarithms", "ln(last_over_time(events[2d]) + 1) + log2(last_over_time(events[2d]) + 1) + log10(last_over_time(events[2d]) + 1) + exp(last_over_time(events[2d]) / 100)", ["event_type", "user_id"], f"{_LAST} SELECT {_LABELS}, round(ln(v + 1) + log2(v + 1) + log10(v + 1) + exp(v / 100), 5) AS value FROM l", 5)
