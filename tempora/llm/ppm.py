@@ -7,11 +7,12 @@ A byte seen n times among the N of its longest known context has probability (2n
 an escape (method D: d / 2N for d distinct bytes) leads to the context shorter by one, where bytes of the longer context are excluded; below the empty context the bytes
 never seen are equally likely. The code length of a document is the sum over its bytes.
 
-Nothing of the corpus is broadcast. Documents belong to blocks, parts of a file; a block's distinct
+Nothing of the corpus is broadcast. Documents belong to blocks, parts of a file of equal size whatever the file's; a block's distinct
 words and byte runs (context and byte) go with their counts to the part that their hash names,
 where they are summed over all blocks. Runs go by their context, so that a part has all of a context.
 Runs that training has never seen descend to shorter contexts by joins of tables. Each block gets back
-one number per own key, in the order of its sorted keys, and scores its documents.
+one number per own key, in the order of its sorted keys, and scores its documents. Each byte's log10
+probability comes back as a 32-bit float (relative error below 6e-8), and is summed as a double.
 
 Nulls are read as empty texts, of one end token. A null id counts as training. Repeated rows
 are scored (and learnt from) one by one; other columns than those named are left out; an empty table
@@ -32,6 +33,8 @@ from tempora.llm.common import RangeHash, materialize, mix, small_batches
 ORDER = 5
 #: Text bytes of a block of documents.
 BLOCK_BYTES = 8 << 20
+#: Text bytes of a scoring task, which takes its blocks one by one.
+TASK_BYTES = 64 << 20
 _WORDS, _RUNS, _OWN_RUNS, _TOTALS = 0, 1, 2, 3
 #: Distinct keys that a task holds per block before it merges them.
 _MERGE_AT = 1 << 20
@@ -348,12 +351,17 @@ def score(documents: DataFrame, held_out: str | None = None, id_column: str = "d
     left_out = F.expr(held_out) if held_out else F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 1
     body = F.coalesce(F.col(text), F.lit(""))
     kind = dict(documents.dtypes)[id_column]
-    total = documents.agg(F.sum(F.octet_length(body) + F.lit(8))).first()[0] or 0
-    n_files = max(1, len(documents.inputFiles()))
-    per_file = -(-total // (block_bytes * n_files)) or 1
-    bits = max(0, int(per_file * n_files).bit_length())
-    block = F.xxhash64(F.input_file_name(), F.pmod(F.xxhash64(F.col(id_column), F.octet_length(body)), F.lit(per_file)))
-    docs = documents.select(F.col(id_column).alias("doc_id"), F.coalesce(left_out, F.lit(False)).alias("held_out"), body.alias("text"), block.alias("block"))
+    sized = documents.select(F.input_file_name().alias("__file"), (F.octet_length(body) + F.lit(8)).alias("n"))
+    files = materialize(sized.groupBy("__file").agg(F.sum("n").alias("n"), F.ceil(F.sum("n") / block_bytes).alias("__parts")))
+    total, n_blocks = files.agg(F.sum("n"), F.sum("__parts")).first()
+    bits = int(n_blocks or 1).bit_length()
+    docs = documents.select(F.col(id_column).alias("doc_id"), F.coalesce(left_out, F.lit(False)).alias("held_out"), body.alias("text"), F.input_file_name().alias("__file"))
+    docs = docs.join(files.select("__file", "__parts"), "__file")  # broadcast below Spark's threshold; beyond it AQE splits a large file
+    docs = docs.withColumn("block", F.xxhash64("__file", F.pmod(F.xxhash64("doc_id", "text"), "__parts"))).drop("__file", "__parts")
+    n_tasks = (total or 0) // TASK_BYTES
+
+    def dealt(frame: DataFrame) -> DataFrame:
+        return frame.repartition(n_tasks, "block") if n_tasks > int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) else frame
 
     counted = docs.select("held_out", "text", "block").mapInArrow(_counted(order, bits), _BLOBS)
     summed = materialize(counted.groupBy("part").applyInArrow(_summed, _BLOBS))
@@ -366,7 +374,7 @@ def score(documents: DataFrame, held_out: str | None = None, id_column: str = "d
     matched = own.groupBy("part").cogroup(unseen.groupBy("part")).applyInArrow(_matched, _BLOBS)
     back = summed.where(F.col("kind") == _WORDS).unionByName(matched)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scored(order, bits, n_train, vocabulary), schema)
+    return dealt(docs).groupBy("block").cogroup(dealt(back).groupBy("block")).applyInArrow(_scored(order, bits, n_train, vocabulary), schema)
 
 
 def _totals(batches):

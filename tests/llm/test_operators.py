@@ -415,6 +415,19 @@ def test_ppm(spark, docs, empty):
     assert ppm.score(empty).count() == 0
 
 
+def test_ppm_blocks_of_unequal_files(spark, tmp_path):
+    """A large file among small ones, in blocks of a few kilobytes, gives what one block gives; null ids and repeated rows too."""
+    rows = [(i, f"{TEXTS[i % 3][1]} w{i % 17} w{i * i % 13}") for i in range(60)] + [(None, "no id " * 9), (None, "no id " * 9), (5, LONG), (5, LONG), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, part in (("a", frame.where("doc_id < 3")), ("b", frame.where("doc_id >= 3 OR doc_id IS NULL"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "docs" / name))
+    files = [str(tmp_path / "docs" / name) for name in "ab"]
+    plain = lambda found: sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 3)) for r in found.collect())
+    got, want = plain(ppm.score(spark.read.parquet(*files), order=3, block_bytes=4096)), plain(ppm.score(frame, order=3))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert all(g[5:] == pytest.approx(w[5:], rel=1e-6) for g, w in zip(got, want, strict=True))
+
+
 # ---- toxicity ----
 
 
